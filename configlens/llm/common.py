@@ -173,3 +173,12 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
             total *= BASE
             total += words[i : i + n]
         return mix64(total)
+
+
+#: Rows of two or three numbers up to which a side of a join is broadcast; beyond that the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if a count shows that it has at most so many rows."""
+    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, lang_id, packing, quality
+from . import bpe, chat_format, lang_id, near_dedup, packing, quality, substring_dedup
 from .common import held_out, table
 
 
@@ -29,6 +29,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near-duplicates."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its words in windows of 20 that start earlier too, as digests."""
+    return substring_dedup.digests(substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, by a model of the learnable labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,6 +55,8 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_near_dedup": op6_near_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
