@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, lang_id, near_dedup, packing, quality, substring_dedup
+from . import ann_search, bpe, chat_format, lang_id, near_dedup, packing, quality, substring_dedup, topk_search
 from .common import held_out, table
 
 
@@ -24,6 +24,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(turns.unionByName(imitation)))
 
 
+def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found of every 20th id."""
+    return ann_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -39,6 +44,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best vectors of every 50th id."""
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, by a model of the learnable labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,9 +64,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
+    "op3_ann_search": op3_ann_search,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_near_dedup": op6_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_exact_topk": op8_exact_topk,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
