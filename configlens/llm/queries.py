@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, bpe, chat_format, lang_id, near_dedup, packing, quality, substring_dedup, topk_search
+from . import ann_search, bpe, chat_format, html_extract, lang_id, near_dedup, packing, quality, substring_dedup, topk_search
 from .common import held_out, table
 
 
@@ -29,6 +29,11 @@ def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.fit())
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -65,6 +70,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
     "op3_ann_search": op3_ann_search,
+    "op4_html_extract": op4_html_extract,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_near_dedup": op6_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
