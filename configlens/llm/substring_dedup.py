@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BASE, BROADCAST_ROWS, Words, Workspace, bytes_of, mix64, slices, window_hashes
 
@@ -97,9 +98,9 @@ def blocks_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and tag: rows are told apart by their texts if doc_ids repeat, else tag is 0 everywhere."""
+    """docs with a tag: rows are told apart by their texts if doc_ids repeat, else tag is 0 everywhere."""
     repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return docs.select("doc_id", "text", (F.xxhash64("text") if repeated else F.lit(0).cast("bigint")).alias("tag"))
+    return docs.withColumn("tag", F.xxhash64("text") if repeated else F.lit(0).cast("bigint"))
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -189,12 +190,22 @@ def removed_words(n: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _clean(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept of each row; kept is the text of the kept words."""
+def dedup_substrings(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept and rest of each row.
+
+    kept is the kept words joined by one space, rest a struct of docs' other
+    columns. A word is removed if a window of WINDOW words over it starts earlier
+    too: in a document of smaller doc_id (null last), or earlier in the same one.
+    Windows are judged on the input. A null text has no words; rows that share a
+    doc_id are judged by their own texts and none of them is earlier at the same
+    start. Texts are whole at any length; an empty table gives no rows.
+    """
     work = Workspace(docs.sparkSession, "substring")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("rest"))
+    found = _by_document(repeats(_keyed(docs.select("doc_id", "text")), work), "first", "n")
     rows = _keyed(docs)
-    found = _by_document(repeats(rows, work), "first", "n")
-    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (rows["tag"] == found["of"]), "left").select("doc_id", "text", "spans")
+    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (rows["tag"] == found["of"]), "left").select("doc_id", "text", "rest", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -206,27 +217,14 @@ def _clean(docs: DataFrame) -> DataFrame:
                     flat = spans.values
                     mask = removed_words(len(words), flat.field("first").to_numpy(), flat.field("n").to_numpy())
                     gone = int(mask.sum())
-                    kept.append(b" ".join([words[i] for i in np.flatnonzero(~mask)]))
-                else:
-                    kept.append(b" ".join(words))
-                count.append(len(words))
+                    words = [words[i] for i in np.flatnonzero(~mask)]
+                kept.append(b" ".join(words))
+                count.append(len(words) + gone)
                 removed.append(gone)
-            columns = [batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.record_batch(columns, ["doc_id", "n_words", "n_removed", "kept"])
-
-    return joined.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string")
-
+            columns = [batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column("rest")]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", "rest"])
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept, the kept words joined by one space, of each row.
-
-    A word is removed if a window of WINDOW words over it starts earlier too: in
-    a document of smaller doc_id (null last), or earlier in the same one. Windows
-    are judged on the input. A null text has no words; rows that share a doc_id
-    are judged by their own texts and none of them is earlier at the same start.
-    Texts are whole at any length; an empty table gives no rows.
-    """
-    return _clean(docs.select("doc_id", "text"))
+    return joined.mapInArrow(run, T.StructType().add("doc_id", rows.schema["doc_id"].dataType).add("n_words", "long").add("n_removed", "long").add("kept", "string").add("rest", rows.schema["rest"].dataType))
 
 
 def digests(deduped: DataFrame) -> DataFrame:
