@@ -163,12 +163,13 @@ def _by_document(rows: DataFrame, *fields: str) -> DataFrame:
 def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc_id, tag, first and n: n windows from the first-th on of the document start earlier elsewhere too."""
     found = blocks(docs)
-    often = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Aggregates are written before they are joined: a join right on top of one can't split a frequent key.
+    often = work.write(found.groupBy("anchor").count().where("count > 1").select("anchor"), "often")
     shared = work.write(found.join(often, "anchor"), "shared")
     firsts = work.write(_firsts(shared), "firsts")
     whole = work.write(_later(shared, firsts.where("count > 1")), "whole")
     work.drop("shared")
-    mixed = firsts.groupBy("anchor").count().where("count > 1").select("anchor")
+    mixed = work.write(firsts.groupBy("anchor").count().where("count > 1").select("anchor"), "mixed")
     border = firsts.join(mixed, "anchor").select("anchor", "place.doc_id", "place.tag", "place.first", "place.n")
     border = work.write(border, "border")
     work.drop("firsts")
@@ -177,7 +178,7 @@ def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
     few = border.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     single = work.write(windows(docs, F.broadcast(wanted) if few else wanted), "single")
     work.drop("border")
-    apart = work.write(_later(single, _firsts(single).where("count > 1")), "apart")
+    apart = work.write(_later(single, work.write(_firsts(single).where("count > 1"), "single_firsts")), "apart")
     work.drop("single")
     return whole.unionByName(apart)
 
