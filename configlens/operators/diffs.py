@@ -13,6 +13,7 @@ import xml.etree.ElementTree as ET
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import line_count, normalise_text, redact
 
@@ -21,7 +22,7 @@ MAX_CANONICAL, MAX_DIFF, MAX_DIFF_LINES = 256 << 10, 128 << 10, 600
 MAX_XML = 512 << 10
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical_json(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         try:
@@ -32,7 +33,7 @@ def _canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical_xml(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         if not text or len(text) > MAX_XML or "<!DOCTYPE" in text or "<!ENTITY" in text:  # never expand entities
@@ -62,7 +63,10 @@ def canonical(text: Column, kind: str = "text") -> Column:
     return plain
 
 
-@F.pandas_udf("diff string, added bigint, removed bigint, changed bigint, truncated boolean")
+_DIFF = T.StructType().add("diff", "string").add("added", "long").add("removed", "long").add("changed", "long").add("truncated", "boolean")
+
+
+@F.pandas_udf(_DIFF)
 def _line_diff(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     def one(a: str | None, b: str | None) -> tuple:
         old, new = (a or "").splitlines(), (b or "").splitlines()

@@ -300,12 +300,12 @@ def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TELEMETRY = """s AS (SELECT user_id, count(*)::BIGINT AS total_runs, (count(*) FILTER (event_type = 'error'))::BIGINT AS failures, max(ts) AS last_updated FROM events GROUP BY 1),
 e AS (SELECT *, failures / total_runs AS failure_rate FROM s),
 i AS (SELECT user_id::VARCHAR AS name, total_runs, failures, round(failure_rate, 6) AS failure_rate, list_filter([CASE WHEN total_runs < 10 THEN 'too few runs' END,
-  CASE WHEN failure_rate > 0.2 THEN 'failure rate' END, CASE WHEN failures > 2 THEN 'last status' END], lambda x: x IS NOT NULL) AS issues FROM e)"""
+  CASE WHEN failure_rate > 0.2 THEN 'failure rate' END, CASE WHEN failures % 2 = 1 THEN 'last status' END], lambda x: x IS NOT NULL) AS issues FROM e)"""
 
 
 def _telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("total_runs"), F.count_if(F.col("event_type") == "error").alias("failures"))
-    rows = rows.select(F.col("user_id").cast("string").alias("name"), "total_runs", "failures", F.when(F.col("failures") > 2, "fail").otherwise("pass").alias("last_status"))
+    rows = rows.select(F.col("user_id").cast("string").alias("name"), "total_runs", "failures", F.when(F.col("failures") % 2 == 1, "fail").otherwise("pass").alias("last_status"))
     return telemetry.evaluate(rows, 0.2, 10)
 
 

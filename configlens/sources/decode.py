@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that count as printable, and how many of a text's bytes are.
 _PRINTABLE = np.isin(np.arange(256), [*range(0x20, 0x7F), 0x09, 0x0A, 0x0D])
@@ -42,7 +43,7 @@ def _decode_one(sample: bytes | None) -> tuple[str | None, str | None]:
     return None, None
 
 
-@F.pandas_udf("text string, encoding string")
+@F.pandas_udf(T.StructType().add("text", "string").add("encoding", "string"))
 def decode(samples: pd.Series) -> pd.DataFrame:
     """Text and encoding of samples; both null where a sample isn't text."""
     return pd.DataFrame([_decode_one(bytes(s) if s is not None else None) for s in samples], columns=["text", "encoding"])
