@@ -219,28 +219,34 @@ def _given(attributes: str) -> int:
 #: Exponents of what is seen of an element, of which fit() takes the one under which labels of other pages are likeliest:
 #: lengths of nested elements depend on each other, so each counts for less than on its own.
 TEMPERS = (0.0, 0.05, 0.1, 0.2, 0.35, 0.6, 1.0)
-#: Buckets of text length (powers of four) and of the share of link text.
-LENGTHS, SHARES = 7, 4
+#: Buckets of text length (powers of four), of the share of link text and of the number of paragraphs and headings right below.
+LENGTHS, SHARES, PARAGRAPHS = 7, 4, 4
+_PARAGRAPH_KINDS = {_NAMES.index(k) for k in ("para", "heading", "quote")}
 
 
-def seen(page: Page) -> tuple[list[int], list[int]]:
-    """Length and link-share buckets of each element with all below it."""
+def seen(page: Page) -> tuple[list[int], list[int], list[int]]:
+    """Length and link-share buckets of each element with all below it, and its paragraphs."""
     total, links = page.length.copy(), page.linked.copy()
     for i in range(len(total) - 1, 0, -1):
         total[page.parent[i]] += total[i]
         links[page.parent[i]] += links[i]
     lengths = [min(LENGTHS - 1, (n.bit_length() + 1) // 2) for n in total]
     shares = [0 if not n or not k else 1 + min(SHARES - 2, int(3 * k / n)) for n, k in zip(total, links, strict=True)]
-    return lengths, shares
+    below = [0] * len(total)
+    for i in range(1, len(total)):
+        below[page.parent[i]] += page.kind[i] in _PARAGRAPH_KINDS
+    return lengths, shares, [min(PARAGRAPHS - 1, n) for n in below]
 
 
 @dataclass
 class Model:
-    """Log-potentials: of a child's label given its parent's, by kind and hint; of what is seen given the label."""
+    """Log-potentials: of the root's label; of a child's given its parent's, by kind and hint; of what is seen given the label."""
 
+    root: np.ndarray
     edge: np.ndarray
     length: np.ndarray
     share: np.ndarray
+    paragraphs: np.ndarray
 
 
 def fit(pages: Iterable[str] | None = None) -> Model:
@@ -251,18 +257,20 @@ def fit(pages: Iterable[str] | None = None) -> Model:
     """
     kinds, hints = len(KINDS), 2 * _INSIDE
     edge = np.zeros((kinds, hints, 2, 2))
-    length, share = np.full((2, LENGTHS), 0.5), np.full((2, SHARES), 0.5)
+    length, share, paragraphs, root = np.full((2, LENGTHS), 0.5), np.full((2, SHARES), 0.5), np.full((2, PARAGRAPHS), 0.5), np.full(2, 0.5)
     held = []
     for k, source in enumerate(labelled_pages() if pages is None else pages):
         page = parse(source)
-        lengths, shares = seen(page)
+        lengths, shares, below = seen(page)
         label = given_labels(page)
         if k % 3 == 2:
             held.append((page, label))
             continue
+        root[label[0]] += 1
         for i, up in enumerate(page.parent):
             length[label[i], lengths[i]] += 1
             share[label[i], shares[i]] += 1
+            paragraphs[label[i], below[i]] += 1
             if up >= 0:
                 edge[page.kind[i], page.hint[i], label[up], label[i]] += 1
     # A kind with a rare hint backs off to the hint alone or the kind alone, whichever is surer, and these to copying the parent.
@@ -277,8 +285,8 @@ def fit(pages: Iterable[str] | None = None) -> Model:
     back[:, _INSIDE] = by_hint[_INSIDE]
     edge = edge + 1.0 * back
     edge /= edge.sum(axis=3, keepdims=True)
-    length, share = (np.log(x / x.sum(axis=1, keepdims=True)) for x in (length, share))
-    models = [Model(np.log(edge), temper * length, temper * share) for temper in TEMPERS]
+    length, share, paragraphs = (np.log(x / x.sum(axis=1, keepdims=True)) for x in (length, share, paragraphs))
+    models = [Model(np.log(root / root.sum()), np.log(edge), a * length, a * share, b * paragraphs) for a in TEMPERS for b in TEMPERS]
     return max(models, key=lambda model: _likelihood(model, held))
 
 
@@ -305,18 +313,19 @@ def _tables(model: Model) -> tuple:
     edge = np.exp(model.edge).tolist()
     ratio_length = np.exp(model.length[1] - model.length[0]).tolist()
     ratio_share = np.exp(model.share[1] - model.share[0]).tolist()
-    return edge, ratio_length, ratio_share
+    ratio_paragraphs = np.exp(model.paragraphs[1] - model.paragraphs[0]).tolist()
+    return np.exp(model.root).tolist(), edge, ratio_length, ratio_share, ratio_paragraphs
 
 
 def marginals(page: Page, tables: tuple) -> list[float]:
     """Each element's probability of being content: messages from leaves to the root, then back.
 
-    Messages are pairs scaled to sum 1. The root is not content, but for what is seen of it.
+    Messages are pairs scaled to sum 1.
     """
-    edge, ratio_length, ratio_share = tables
-    lengths, shares = seen(page)
+    root, edge, ratio_length, ratio_share, ratio_paragraphs = tables
+    lengths, shares, paragraphs = seen(page)
     n = len(page.parent)
-    own = [(1.0, ratio_length[a] * ratio_share[b]) for a, b in zip(lengths, shares, strict=True)]
+    own = [(1.0, ratio_length[a] * ratio_share[b] * ratio_paragraphs[c]) for a, b, c in zip(lengths, shares, paragraphs, strict=True)]
     below = [list(x) for x in own]  # evidence of each element and all below it
     up = [(0.5, 0.5)] * n
     for i in range(n - 1, 0, -1):
@@ -332,7 +341,7 @@ def marginals(page: Page, tables: tuple) -> list[float]:
         at[0] /= s
         at[1] /= s
     belief = [0.0] * n
-    no, yes = 0.9 * below[0][0], 0.1 * below[0][1]
+    no, yes = root[0] * below[0][0], root[1] * below[0][1]
     belief[0] = yes / (no + yes)
     for i in range(1, n):
         p = belief[page.parent[i]]

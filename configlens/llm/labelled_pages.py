@@ -66,14 +66,19 @@ def _body_of_article(rng: random.Random) -> str:
             parts.append(f"<pre>{_words(rng, 3, 30)}</pre>")
         else:
             parts.append(rng.choice(["<section>{}</section>", "<div>{}</div>"]).format(_paragraph(rng) + _paragraph(rng)))
-    if rng.random() < 0.15:  # what isn't content inside it
+    for _ in range(rng.choice([0, 0, 1, 1, 2])):  # what isn't content inside it
         parts.insert(rng.randint(0, len(parts)), rng.choice([_advert, _share, _aside, _notice, _form])(rng))
+    if rng.random() < 0.15:
+        parts.append(_comments(rng))
+    if rng.random() < 0.15:
+        parts.append(f"<footer {LABEL}=0>{rng.choice([_words(rng, 1, 12), _links(rng)])}</footer>")
     return "".join(parts)
 
 
 def _advert(rng: random.Random) -> str:
     name = rng.choice(["ad", "ads", "advert", "sponsor", "promo", "banner", "ad-slot", "sponsored"])
-    return f'<div {rng.choice(["class", "id"])}="{name}" {LABEL}=0>{rng.choice([_words(rng, 3, 30), _paragraph(rng), _link(rng)])}</div>'
+    tag = rng.choice(["div", "div", "section", "aside", "p"])
+    return f'<{tag} {rng.choice(["class", "id"])}="{name}" {LABEL}=0>{rng.choice([_words(rng, 3, 30), _words(rng, 20, 80), _link(rng)])}</{tag}>'
 
 
 def _share(rng: random.Random) -> str:
@@ -120,18 +125,20 @@ def _page(rng: random.Random) -> str:
         if rng.random() < share:
             parts.append(make(rng))
     body = _body_of_article(rng)
-    shape = rng.random()
-    if shape < 0.5:
+    shape, whole = rng.random(), rng.random() < 0.08
+    if whole:
+        body += _paragraph(rng)
+    elif shape < 0.45:
         body = f"<article {LABEL}=1>{body}</article>"
-    elif shape < 0.62:
+    elif shape < 0.55:
         body = f"<main {LABEL}=1>{body}</main>"
-    elif shape < 0.74:
+    elif shape < 0.67:
         body = f"<main {LABEL}=1><article>{body}</article></main>"
-    elif shape < 0.92:
+    elif shape < 0.86:
         body = f'<div {rng.choice(["class", "id"])}="{rng.choice(["content", "post", "article-body", "entry-content", "story", "main-content", "post-text"])}" {LABEL}=1>{body}</div>'
     else:
         body = f"<div {LABEL}=1>{body + ''.join(_paragraph(rng) for _ in range(4))}</div>"
-    if rng.random() < 0.25:
+    if rng.random() < 0.25 and not whole:
         body = f"<div>{body}</div>"
     parts.append(body)
     tail = [make(rng) for make, share in ((_comments, 0.35), (_aside, 0.4), (_advert, 0.3), (_share, 0.2), (_form, 0.2), (_notice, 0.15)) if rng.random() < share]
@@ -140,4 +147,4 @@ def _page(rng: random.Random) -> str:
     if rng.random() < 0.85:
         footer = rng.choice([f"&copy; {_words(rng, 2, 25)}", f"<p>{_words(rng, 3, 20)}</p>", _links(rng)])
         parts.append(f"<footer {LABEL}=0>{footer}</footer>" if rng.random() < 0.8 else f'<div class="footer" {LABEL}=0>{footer}</div>')
-    return "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(parts) + "</body></html>"
+    return f"<!DOCTYPE html><html><head><title>x</title></head><body{f" {LABEL}=1" * whole}>" + "".join(parts) + "</body></html>"

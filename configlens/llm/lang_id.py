@@ -118,8 +118,11 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
     """
     spark = docs.sparkSession
     rows = docs.where(learnable() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_docs)
+    # First within salted parts of each language, so that a frequent one is ranked in many tasks.
+    sample = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("part"))
+    for group in (("lang", "part"), ("lang",)):
+        order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
+        sample = sample.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_docs).drop("n")
     sample = sample.select("doc_id").distinct()  # most_docs ids per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

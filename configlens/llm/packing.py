@@ -159,13 +159,23 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
     return sorted(groups.items())
 
 
+#: Shares of the fitted repeats that plan() tries: fitted patterns may use up short pieces that long ones need beside them.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
+
+
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and how often each is used; together they hold exactly histogram[length] pieces of each length."""
-    left = histogram.astype(np.int64).copy()
-    used: list[tuple[tuple[int, ...], int]] = []
+    """Patterns and how often each is used; together they hold exactly histogram[length] pieces of each length.
+
+    Fitted repeats are rounded down and the residual is packed by best fit, for
+    several shares of the repeats; the plan of fewest sequences is taken.
+    """
     patterns = enumerate_patterns(histogram, capacity)
-    if patterns:
-        repeats = np.floor(non_negative_least_squares(patterns, histogram.astype(float)) + 1e-6).astype(np.int64)
+    fitted = non_negative_least_squares(patterns, histogram.astype(float)) if patterns else np.zeros(0)
+    plans = []
+    for share in SHARES:
+        left = histogram.astype(np.int64).copy()
+        used: list[tuple[tuple[int, ...], int]] = []
+        repeats = np.floor(share * fitted + 1e-6).astype(np.int64)
         # Fullest first, so that rounding and overshoot cost the wasteful patterns.
         for k in sorted(range(len(patterns)), key=lambda k: (-sum(patterns[k]), patterns[k])):
             pattern = patterns[k]
@@ -176,7 +186,8 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[in
             if n > 0:
                 used.append((pattern, n))
                 left -= n * need
-    return used + best_fit(left, capacity)
+        plans.append(used + best_fit(left, capacity))
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:

@@ -110,15 +110,15 @@ def test_context_sums_do_not_depend_on_partitions(spark):
 
 def brute_sum_product(page, tables):
     """Marginals by trying all labellings."""
-    edge, lengths_ratio, shares_ratio = tables
-    lengths, shares = html_extract.seen(page)
+    root, edge, lengths_ratio, shares_ratio, paragraphs_ratio = tables
+    lengths, shares, below = html_extract.seen(page)
     n = len(page.parent)
     total, yes = 0.0, np.zeros(n)
     for bits in range(2**n):
         y = [(bits >> i) & 1 for i in range(n)]
-        p = 0.1 if y[0] else 0.9
+        p = root[y[0]]
         for i in range(n):
-            p *= lengths_ratio[lengths[i]] * shares_ratio[shares[i]] if y[i] else 1.0
+            p *= lengths_ratio[lengths[i]] * shares_ratio[shares[i]] * paragraphs_ratio[below[i]] if y[i] else 1.0
             if i:
                 p *= edge[page.kind[i]][page.hint[i]][y[page.parent[i]]][y[i]]
         total += p
