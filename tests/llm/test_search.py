@@ -75,6 +75,41 @@ def test_two_axes_and_salted_buckets(spark, monkeypatch):
     assert len(got) == 12 and hits >= 0.9 * 5 * len(got)
 
 
+def spread(norms, n=2000, dim=64):
+    """Random directions with norms within a factor of 4, or of 1 but for one of 5 or 100."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x * (rng.uniform(0.5, 2.0, (n, 1)) if norms == "uneven" else 1.0)
+    x[77] *= norms if norms != "uneven" else 1
+    return x.astype(np.float32)
+
+
+def recall(spark, x, every=20, k=20):
+    got = {}
+    for r in ann_search.nearest(table(spark, x), F.col("vec_id") % every == 0, k=k).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    x, ids, asked = x.astype(float), np.arange(len(x)), range(0, len(x), every)
+    assert all(len(got[q]) == k for q in asked)
+    return np.mean([len(set(got[q]) & set(best(np.round(x @ x[q], 12), ids, q, k))) / k for q in asked])
+
+
+@pytest.mark.parametrize("norms", ["uneven", 5.0, 100.0])
+def test_recall_with_uneven_norms(spark, norms):
+    assert recall(spark, spread(norms)) >= 0.95
+
+
+def test_recall_of_hashed_norm_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ann_search, "OCCUPANCY", 0.05)  # ranges of some tens of vectors are hashed by two axes, smaller ones searched whole
+    assert recall(spark, vectors(5, norms=True), k=5) >= 0.9
+
+
+def test_queries_with_few_candidates_get_all_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann_search, "SETTINGS", {1: (1, 1)})
+    x = spread(1.0, n=400)
+    assert recall(spark, x) == 1.0  # a single bucket of one table never holds 20
+
+
 @pytest.mark.parametrize("group_bytes", [1 << 25, 1500])
 def test_top_k_is_exact(spark, monkeypatch, group_bytes):
     monkeypatch.setattr(topk_search, "GROUP_BYTES", group_bytes)
