@@ -276,23 +276,34 @@ def label(texts: list[str], model: Model) -> tuple[TextWords, np.ndarray, list[s
     return words, path, names, np.clip(score, 0.0, 1.0)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def explained(words: TextWords, model: Model, count: int) -> np.ndarray:
+    """The share of each text's letters in words of a script that some language is written in."""
+    doc = np.repeat(np.arange(count), np.diff(words.starts))
+    known = model.allowed[words.script].any(axis=1)
+    total = np.bincount(doc, weights=words.letters, minlength=count)
+    return np.bincount(doc, weights=words.letters * known, minlength=count) / np.maximum(1, total)
+
+
+def identify(docs: DataFrame, model: Model, share: bool = False) -> DataFrame:
     """docs with lang_pred and lang_score (with underscores before them where docs has such columns).
 
     lang_pred is a learned language or `und` where the text is null or has no
     letter; empty and very long texts, ties and repeated rows are labelled one by
-    one, an empty table stays empty. Only the text is read for it.
+    one, an empty table stays empty. Only the text is read for it. With `share`
+    a last column lang_explained tells the share of letters that explained() gives.
     """
     name, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    more = [fresh(docs, "lang_explained")] * share
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            _, _, names, scores = label(texts_of(batch.column("text")), known.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, name, score])
+            words, _, names, scores = label(texts_of(batch.column("text")), known.value)
+            shares = [pa.array(explained(words, known.value, batch.num_rows)) for _ in more]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores), *shares], names=[*batch.schema.names, name, score, *more])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{name}` string, `{score}` double")
+    return docs.mapInArrow(run, ", ".join([f"{schema}, `{name}` string, `{score}` double", *(f"`{c}` double" for c in more)]))
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from configlens.llm import lang_id, near_dedup, packing, quality, substring_dedup
 from configlens.llm.common import Workspace, broadcast_if_small, table
 
-#: Documents whose language is less certain than this go, besides those without a letter.
-LEAST_LANGUAGE_SCORE = 0.2
+#: Documents go of whose letters a smaller share is in scripts of any learned language, besides those without a letter.
+LEAST_EXPLAINED = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without text or letters, and undecided ones, go."""
-    found = lang_id.identify(docs, lang_id.fit(docs))
-    name, score = found.columns[-2:]
-    return found.where((F.col(name) != lang_id.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    """Documents with a language or several; those without text or letters, and those in scripts of no language, go.
+
+    lang_score isn't asked: it is low where a text has two languages.
+    """
+    found = lang_id.identify(docs, lang_id.fit(docs), share=True)
+    name, _, share = found.columns[-3:]
+    return found.where((F.col(name) != lang_id.UNDETERMINED) & (F.col(share) >= LEAST_EXPLAINED)).select(docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

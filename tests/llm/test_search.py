@@ -182,6 +182,18 @@ def test_pipeline_stages(spark, sf_dir):
     assert sum(d in b for d in good) >= 0.95 * len(good) and len(b) < len(a)
 
 
+def test_pipeline_keeps_documents_of_two_languages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    texts = {}
+    for r in docs.where("lang IS NOT NULL AND n_chars > 400").orderBy("doc_id").collect():
+        texts.setdefault(r.lang, []).append(r.text.split()[:60])
+    langs = sorted(texts)
+    pairs = [" ".join(x + y) for i, a in enumerate(langs) for b in langs[i + 1 :] for x, y in zip(texts[a][:20], texts[b][:20])]
+    mixed = spark.createDataFrame([(10**6 + i, t, None, "mixed", len(t)) for i, t in enumerate([*pairs, "\u0e01\u0e02\u0e03 \u0e04\u0e05" * 30, "12 34"])], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.union(mixed), "").where("doc_id >= 1000000").collect()}
+    assert len(pairs) > 50 and kept == {10**6 + i for i in range(len(pairs))}
+
+
 def test_pipeline_on_odd_documents(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
     odd = spark.createDataFrame([(None, "hello world of the", None, None, None), (99_999, None, "en", "s", 0), (99_998, "", None, "s", 0), (99_997, "the of and " * 40_000, None, "s", 1)], docs.schema)
