@@ -59,6 +59,8 @@ HINTS = {
 #: Elements whose text is never shown, or is a control's.
 HIDDEN = {"head", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "button", "select", "textarea", "datalist"}
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript"}
+#: Start tags that may be in a head; any other one ends it, since </head> and <body> may be left out.
+IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 _KIND_OF = {tag: k for k, tags in enumerate(KINDS.values()) for tag in tags.split()}
@@ -90,14 +92,62 @@ class Page:
     linked: list[int]
 
 
+def _tags(source: str) -> list[tuple[int, int, bool, str, str]]:
+    """Begin, end, whether closing, name and attributes of each tag outside of comments and raw texts; raw elements are one tag named `raw`."""
+    tags, endless = [], set()
+    at = 0
+    while found := _MARKUP.search(source, at):
+        at = found.end()
+        name = found[2] or found[5]
+        if not name:
+            tags.append((found.start(), at, False, "", ""))
+            continue
+        closing, name, attributes = bool(found[1] or found[4]), name.lower(), found[3] or found[6] or ""
+        if name in RAW and not closing:
+            end = None if name in endless else re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(source, at)
+            if name in ("iframe", "noscript") and end and re.compile(rf"<{name}\b", re.IGNORECASE).search(source, at, end.start()):
+                end = None  # left open; the end is of a later one
+            elif end is None:
+                endless.add(name)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = len(source)  # code up to the end of the page
+            elif name in ("title", "textarea"):
+                tag = source.find("<", at)
+                at = len(source) if tag < 0 else tag
+            tags.append((found.start(), at, False, "raw:" + name, ""))
+            continue
+        tags.append((found.start(), at, closing, name, attributes))
+    return tags
+
+
+def _closed(tags: list[tuple[int, int, bool, str, str]]) -> set[int]:
+    """Numbers of the tags of hidden elements that have an end tag of their own."""
+    begun: dict[str, list[int]] = {}
+    closed = set()
+    for number, (_, _, closing, name, attributes) in enumerate(tags):
+        if name in HIDDEN:
+            if not closing and not attributes.endswith("/"):
+                begun.setdefault(name, []).append(number)
+            elif closing and begun.get(name):
+                closed.add(begun[name].pop())
+    return closed
+
+
 def parse(source: str) -> Page:
-    """The block tree of a page; unclosed, misnested and unknown elements are taken as browsers mostly do."""
+    """The block tree of a page; unclosed, misnested and unknown elements are taken as browsers mostly do.
+
+    A hidden element ends with its end tag or that of its parent; one without an
+    end tag ends at the next block, so that it hides nothing else.
+    """
     parent, kind, hint, given, length, linked = [-1], [0], [0], [-1], [0], [0]
     texts: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]
     open_count = {"html": 1}
-    hidden, links, pending = 0, 0, []
-    at, size = 0, len(source)
+    hidden: list[tuple[str, int, bool]] = []  # open hidden elements: name, open blocks around, whether closed by a tag of its own
+    links, pending, began = 0, [], False
+    at = 0
 
     def flush() -> None:
         if pending:
@@ -107,6 +157,8 @@ def parse(source: str) -> Page:
                 texts.append((stack[-1][1], text))
 
     def add(text: str) -> None:
+        if hidden and hidden[-1][0] == "head" and not text.isspace() and text:
+            hidden.pop()
         if text and not hidden:
             pending.append(text)
             shown = len(text) - text.count(" ")
@@ -117,30 +169,34 @@ def parse(source: str) -> Page:
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
             open_count[stack.pop()[0]] -= 1
-
-    while at < size:
-        found = _MARKUP.search(source, at)
-        if found is None:
-            add(source[at:])
-            break
-        add(source[at : found.start()])
-        at = found.end()
-        name = found[2] or found[5]
+        while hidden and hidden[-1][1] > depth:
+            hidden.pop()
+
+    tags = _tags(source)
+    closed = _closed(tags)
+    for number, (begin, end, closing, name, attributes) in enumerate(tags):
+        add(source[at:begin])
+        at = end
         if not name:
             continue
-        closing, name, attributes = found[1] or found[4], name.lower(), found[3] or found[6] or ""
-        if name in RAW and not closing:
-            end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(source, at)
-            at = end.end() if end else size
+        in_head = name.removeprefix("raw:") in IN_HEAD
+        if not closing and not in_head and hidden and hidden[-1][0] == "head":
+            hidden.pop()
+        if name.startswith("raw:"):
+            began |= not in_head
             continue
         if name in HIDDEN:
-            if not closing and not attributes.endswith("/"):
-                hidden += 1
-            elif closing and hidden:
-                hidden -= 1
+            if closing:
+                if any(name == h[0] for h in hidden):
+                    while hidden.pop()[0] != name:
+                        pass
+            elif not attributes.endswith("/") and not (name == "head" and (began or pending or texts)):
+                hidden.append((name, len(stack), number in closed))
+            began |= not in_head
             continue
+        began |= not closing and not in_head
         if name == "body":
-            hidden = 0
+            hidden.clear()
         if name == "a":
             links = 0 if closing else 1
             continue
@@ -151,6 +207,10 @@ def parse(source: str) -> Page:
             if name in ("td", "th", "img", "input", "hr"):
                 add(" ")
             continue
+        for k, (opened, _, has_end) in enumerate(hidden):
+            if not has_end and opened != "head":
+                del hidden[k:]
+                break
         flush()
         links = 0
         name = "h1" if len(name) == 2 and name[0] == "h" and name != "hr" else name  # any heading's end tag ends any heading
@@ -165,17 +225,18 @@ def parse(source: str) -> Page:
             if name == "body" and "data-content" in attributes:
                 given[0] = _given(attributes)
             continue
+        around = hidden[-1][1] if hidden else 0  # a start tag in a hidden element ends no block around that
         if name in _ENDS_P and open_count.get("p", 0):
             depth = len(stack) - 1
             while depth and stack[depth][0] not in ("p", *_BOUND):
                 depth -= 1
-            if stack[depth][0] == "p":
+            if depth >= around and stack[depth][0] == "p":
                 pop_to(depth)
         if name in _SAME:
             depth = len(stack) - 1
             while depth and stack[depth][0] not in _SAME[name] and stack[depth][0] not in _BOUND:
                 depth -= 1
-            if stack[depth][0] in _SAME[name]:
+            if depth >= around and stack[depth][0] in _SAME[name]:
                 pop_to(depth)
         if attributes.endswith("/") and name in VOID:
             continue
@@ -190,6 +251,7 @@ def parse(source: str) -> Page:
         linked.append(0)
         stack.append((name, node))
         open_count[name] = open_count.get(name, 0) + 1
+    add(source[at:])
     flush()
     return Page(parent, kind, hint, given, texts, length, linked)
 

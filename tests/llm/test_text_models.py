@@ -183,3 +183,26 @@ def test_extracts_odd_rows(spark, pages):
     assert [(r.page_id, r.url) for r in got] == [(1, None), (None, "u"), (2, "u"), (2, "u")]
     assert all(r.n_chars == len(r.text) for r in got) and got[0].text == ""
     assert html_extract.extract(table.limit(0), pages[0]).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("source", "texts"),
+    [
+        ("<head><meta charset=utf-8><p>Article", "Article"),
+        ("<html><head><title>T</title><link rel=x>Article <b>goes</b> on", "Article goes on"),
+        ("<head><title>T</title></head><body><p>One", "One"),
+        ("<head><title>T<body><p>One", "One"),
+        ("<p>One <head>two", "One two"),
+        *((f"<article><p>One<{tag}>x<p>Two</p>Three</article>Four", "One Two Three Four") for tag in ("button", "select", "object", "svg", "math", "audio", "video", "canvas", "template")),
+        ("<article><p>One<button>x</article><p>Two<button>y</button>", "One Two"),
+        ("<p>One<button>x<p>y</p><div>z</div></button>two</p>", "One two"),
+        ("<p>One<object><video>x</object> two", "One two"),
+        ("<div>One<svg><g><text>x</text></g></svg> two</button></svg></div>", "One two"),
+        ("<p>One <noscript>two<p>Three", "One two Three"),
+        ("<p>One <iframe src=a>two<p>Three<iframe>x</iframe>", "One two Three"),
+        ("<p>One<textarea>x<p>Two", "One Two"),
+        ("<p>One<script>x<p>y", "One"),
+    ],
+)
+def test_omitted_and_unclosed_tags_hide_nothing_else(source, texts):
+    assert " ".join(" ".join(text for _, text in html_extract.parse(source).texts).split()) == texts
