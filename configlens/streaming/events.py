@@ -18,7 +18,8 @@ def throttle(progress: DataFrame, gap_ms: int = THROTTLE_MS) -> DataFrame:
     A host's event is dropped if status and message are those of its last emitted
     one and less than gap_ms have passed since that. The gap is measured to the
     last emitted event, so a lag over neighbours would not do; the state is that
-    event. The same function takes a batch table.
+    event. The same function takes a batch table, whose hosts are sorted by Spark
+    and pass batch by batch, so that memory doesn't follow a host's history.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -33,7 +34,24 @@ def throttle(progress: DataFrame, gap_ms: int = THROTTLE_MS) -> DataFrame:
     rows = progress.select("host_id", "status", "message", "at_ms")
     if progress.isStreaming:
         return rows.groupBy("host_id").applyInPandasWithState(step, schema, "status string, message string, at_ms bigint", "append", GroupStateTimeout.NoTimeout)
-    return rows.groupBy("host_id").applyInPandas(lambda frame: _emitted(frame, None, gap_ms)[0], schema)
+
+    def carry(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, last = None, None
+        for frame in frames:
+            for _, part in frame.groupby(_runs(frame["host_id"]), sort=False):
+                if part["host_id"].iloc[0] != host:
+                    host, last = part["host_id"].iloc[0], None
+                out, last = _emitted(part, last, gap_ms)
+                yield out
+
+    ordered = rows.repartition("host_id").sortWithinPartitions("host_id", F.asc_nulls_last("at_ms"), "status", "message")
+    return ordered.mapInPandas(carry, schema)
+
+
+def _runs(values: pd.Series) -> pd.Series:
+    """Numbers of the runs of equal values, nulls being equal."""
+    before = values.shift()
+    return ((values != before) & ~(values.isna() & before.isna())).cumsum()
 
 
 def _emitted(frame: pd.DataFrame, last: tuple | None, gap_ms: int) -> tuple[pd.DataFrame, tuple | None]:

@@ -194,6 +194,24 @@ def test_sinks(spark, tmp_path):
     assert json.loads(sinks.teams_payload(message))["sections"][0]["facts"] == [{"name": "host", "value": "h"}]
 
 
+def test_throttle_of_a_hot_host_passes_in_batches(spark):
+    rows = [(h, f"s{(t // 40) % 3}", "m", t * 7) for t in range(700) for h in ("a", "hot", None) if h == "hot" or t % 5 == 0]
+    batch = spark.createDataFrame(rows, "host_id string, status string, message string, at_ms bigint").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        found = events.throttle(batch)
+        got = sorted((str(r.host_id), r.at_ms) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted, last = [], {}
+    for host, status, _, at in sorted(rows, key=lambda r: r[3]):
+        if host not in last or last[host][0] != status or at - last[host][1] >= 50:
+            last[host] = (status, at)
+            wanted.append((str(host), at))
+    assert got == sorted(wanted)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()  # would hold a host in one frame
+
+
 def test_throttle_is_the_same_in_a_stream(spark, tmp_path):
     rows = [("h", "s", "m", t) for t in (0, 30, 60, 90, 120)] + [("h", "s", "other", 130), ("g", "s", "m", 10)]
     schema = "host_id string, status string, message string, at_ms bigint"
