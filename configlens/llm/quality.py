@@ -14,13 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, fresh, hash_runs, learnable, mix64, slices
+from .common import Workspace, broadcast_if_small, bytes_of, fresh, hash_runs, learnable, mix64, slices
 
-#: Hash buckets of words, dimensions of their vectors, buckets in a row of the partial sums.
-BUCKETS, SIZE, BLOCK = 1 << 14, 48, 256
+#: Dimensions of word vectors; words whose sums a task holds before it hands them on; the most frequent words, whose vectors are broadcast.
+SIZE, HELD, FREQUENT = 48, 150_000, 500_000
+#: Vectors' entries are rounded to multiples of 1 / SCALE and summed as whole numbers, so that no order of tasks changes a sum.
+SCALE = 1 << 14
 #: Neighbours on each side, and non-zero entries of an index vector.
 WINDOW, NON_ZERO = 2, 2
 #: Labelled documents that the network is fitted on at most; those with the smallest hashed ids.
@@ -38,7 +41,7 @@ _VALUE[48:58] = 48
 
 
 class Tokens:
-    """Runs of letters, digits or other signs of a batch of texts as hash buckets; digits are all alike."""
+    """Runs of letters, digits or other signs of a batch of texts as 64-bit hashes; digits are all alike."""
 
     def __init__(self, texts: list[bytes]):
         data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
@@ -48,81 +51,219 @@ class Tokens:
         inside = kind[change] > 0
         begin, end = change[inside], end[inside]
         hashes = hash_runs(_VALUE[data], begin, end)
-        self.buckets = (hashes >> np.uint64(64 - 14)).astype(np.int64)
+        self.words = hashes.view(np.int64)
         offset = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))])
         self.starts = np.searchsorted(begin, offset)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.starts))
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Dimensions and signs of each bucket's index vector, the same in every process."""
-    mixed = mix64(np.arange(1, BUCKETS * NON_ZERO + 1, dtype=np.uint64)).reshape(BUCKETS, NON_ZERO)
+def index_vectors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dimensions and signs of each word's index vector, the same in every process."""
+    mixed = mix64(words.view(np.uint64)[:, None] * np.uint64(NON_ZERO) + np.arange(1, NON_ZERO + 1, dtype=np.uint64))
     return (mixed % np.uint64(SIZE)).astype(np.int64), np.where((mixed >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
 
 
-def context_sums(docs: DataFrame) -> np.ndarray:
-    """The context vectors [bucket, dimension] of all words of all texts.
+SUMS = "word bigint, n bigint, sums binary"
+
+
+def _rows(words: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(words, pa.int64()), pa.array(n.astype(np.int64)), _packed(sums)], ["word", "n", "sums"])
+
+
+def _packed(values: np.ndarray) -> pa.Array:
+    width = values.shape[1] * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(np.arange(0, (len(values) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _sums(column: pa.Array, kind: type = np.int16) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of (word, n, sums), of equal words one."""
+    words, n, sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))[: len(words)]
+    return words[first], np.add.reduceat(n[order], first), np.add.reduceat(sums[order], first, axis=0)
 
-    Each task adds up its texts; what tasks have is added up in two rounds, by
-    salted blocks and then by blocks, each a stream of rows. Only the sums, whose
-    size is fixed, reach the driver.
+
+def context_table(docs: DataFrame, vectors: bool = False) -> DataFrame:
+    """Each word (by its 64-bit hash), how often it occurs, and its context sums (64-bit floats) or vector (16-bit integers), over all texts.
+
+    Tasks add up what they meet, a bounded number of words at a time; what they
+    hand on is added up by word, of which a task holds one batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, signs = index_vectors()
-        total = np.zeros(BUCKETS * SIZE)
+        held, count = [], 0
         for batch in slices(batches, "text", 2 << 20):
             tokens = Tokens(bytes_of(batch.column("text")))
+            if not len(tokens.words):
+                continue
+            words, place = np.unique(tokens.words, return_inverse=True)
+            dims, signs = index_vectors(words)
             at, weight = [], []
             for gap in range(1, WINDOW + 1):
-                left, right = tokens.buckets[:-gap], tokens.buckets[gap:]
+                left, right = place[:-gap], place[gap:]
                 together = tokens.text[:-gap] == tokens.text[gap:]
                 left, right = left[together], right[together]
                 for j in range(NON_ZERO):
-                    at += [left * SIZE + places[right, j], right * SIZE + places[left, j]]
+                    at += [left * SIZE + dims[right, j], right * SIZE + dims[left, j]]
                     weight += [signs[right, j], signs[left, j]]
-            total += np.bincount(np.concatenate(at), weights=np.concatenate(weight), minlength=len(total))
-        yield _blocks(total)
+            sums = np.bincount(np.concatenate(at), weights=np.concatenate(weight), minlength=len(words) * SIZE).reshape(-1, SIZE)
+            held.append((words, np.bincount(place), sums.astype(np.int32)))
+            count += len(words)
+            if count > HELD:
+                held = [_merged(held)]
+                count = len(held[0][0])
+                if count > HELD // 2:
+                    yield from _handed(held.pop())
+                    count = 0
+        if held:
+            yield from _handed(_merged(held))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS * SIZE)
+        last = None  # the word that the next batch may go on with
         for batch in batches:
-            for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                total[block * BLOCK * SIZE : (block + 1) * BLOCK * SIZE] += np.frombuffer(sums, dtype=np.float64)
-        yield _blocks(total)
+            if not batch.num_rows:
+                continue
+            parts = [(batch.column("word").to_numpy(), batch.column("n").to_numpy(), _sums(batch.column("sums")).astype(np.float64))]
+            words, n, sums = _merged([last, *parts] if last else parts)
+            last = words[-1:], n[-1:], sums[-1:]
+            if len(words) > 1:
+                yield _rows(words[:-1], n[:-1], made(sums[:-1]))
+        if last:
+            yield _rows(last[0], last[1], made(last[2]))
+
+    made = word_vectors if vectors else np.asarray
 
-    schema = "block int, sums binary"
-    parts = docs.select("text").mapInArrow(run, schema)
-    parts = parts.repartition(F.col("block"), F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(8))).mapInArrow(add, schema)
-    rows = parts.repartition("block").mapInArrow(add, schema).collect()  # a fixed number of buckets
-    total = np.zeros(BUCKETS * SIZE)
-    for row in rows:
-        total[row.block * BLOCK * SIZE : (row.block + 1) * BLOCK * SIZE] += np.frombuffer(row.sums, dtype=np.float64)
-    return total.reshape(BUCKETS, SIZE)
+    return docs.select("text").mapInArrow(run, SUMS).repartition("word").sortWithinPartitions("word").mapInArrow(add, SUMS)
 
 
-def _blocks(total: np.ndarray) -> pa.RecordBatch:
-    blocks = total.reshape(-1, BLOCK * SIZE)
-    used = np.flatnonzero(blocks.any(axis=1))
-    return pa.record_batch([pa.array(used, pa.int32()), pa.array([blocks[k].tobytes() for k in used], pa.binary())], ["block", "sums"])
+def _handed(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows; sums beyond 16 bits are handed on in several rows."""
+    words, n, sums = rows
+    while len(words):
+        part = np.clip(sums, -32767, 32767)
+        for a in range(0, len(words), 10_000):
+            yield _rows(words[a : a + 10_000], n[a : a + 10_000], part[a : a + 10_000].astype(np.int16))
+        more = np.flatnonzero((part != sums).any(axis=1))
+        words, n, sums = words[more], np.zeros(len(more), dtype=np.int64), (sums - part)[more]
+
+
+def context_sums(docs: DataFrame) -> np.ndarray:
+    """The rows [word, n, *sums] of context_table(), by word; for small tables."""
+    rows = context_table(docs).orderBy("word").toArrow().combine_chunks()
+    return np.array([(w, n, *np.frombuffer(s)) for w, n, s in zip(*(rows[c].to_pylist() for c in ("word", "n", "sums")), strict=True)], dtype=object)
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
-    """Context vectors with damped counts, each of length 1 (0 for words without neighbours)."""
+    """Context vectors with damped counts, each of length 1 (0 for words without neighbours), in units of 1 / SCALE."""
     damped = np.sign(sums) * np.log1p(np.abs(sums))
     norm = np.linalg.norm(damped, axis=1, keepdims=True)
-    return (damped / np.where(norm > 0, norm, 1.0)).astype(np.float32)
+    return np.rint(damped / np.where(norm > 0, norm, 1.0) * SCALE).astype(np.int16)
+
+
+@dataclass
+class Vectors:
+    """All words' vectors, as a table, and the vectors of the most frequent ones, sorted by word."""
 
+    table: DataFrame
+    rare: bool
+    frequent: Broadcast
 
-def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """The mean of each text's word vectors; zeros for a text without words."""
-    tokens = Tokens(texts)
-    out = np.zeros((len(texts), vectors.shape[1]))
-    sizes = np.diff(tokens.starts)
-    filled = sizes > 0
-    if filled.any():
-        out[filled] = np.add.reduceat(vectors[tokens.buckets], tokens.starts[:-1][filled], axis=0) / sizes[filled, None]
-    return out
+
+def learned_vectors(docs: DataFrame, frequent: int | None = None) -> Vectors:
+    frequent = FREQUENT if frequent is None else frequent
+    work = Workspace(docs.sparkSession, "vectors")
+    table = work.write(context_table(docs, vectors=True), "table")
+    top = table.orderBy(F.desc("n"), "word").limit(frequent + 1).toArrow()  # FREQUENT words
+    rare, top = top.num_rows > frequent, top.slice(0, frequent).combine_chunks()
+    words = top["word"].to_numpy()
+    vectors = np.frombuffer(b"".join(top["sums"].to_pylist()), dtype=np.int16).reshape(-1, SIZE)
+    order = np.argsort(words)
+    return Vectors(table, rare, docs.sparkSession.sparkContext.broadcast((words[order], vectors[order])))
+
+
+def pooled(docs: DataFrame, vectors: Vectors) -> DataFrame:
+    """key and mean of each distinct text: the mean of its words' vectors, zeros for a text without words.
+
+    Frequent words are looked up where the text is; rarer ones, which no key is
+    full of, are joined by word, and what a text has of both is added up.
+    """
+    known = vectors.frequent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, values = known.value
+        seen: set[bytes] = set()  # copies of a text are left out where a task meets them; others change no mean
+        for batch in slices(batches, "text", 2 << 20):
+            new = []
+            for i, key in enumerate(batch.column("key").to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            if len(seen) > 200_000:
+                seen.clear()
+            if not new:
+                continue
+            batch = batch.take(pa.array(new))
+            tokens = Tokens(bytes_of(batch.column("text")))
+            words, place = np.unique(tokens.words, return_inverse=True)
+            at = np.minimum(np.searchsorted(names, words), max(0, len(names) - 1))
+            found = names[at] == words if len(names) else np.zeros(len(words), dtype=bool)
+            local = np.zeros((len(words) + 1, SIZE))
+            if found.any():
+                local[:-1][found] = values[at[found]]
+            sizes = np.diff(tokens.starts)
+            sums = np.zeros((len(new), SIZE))
+            if len(place):
+                sums[sizes > 0] = np.add.reduceat(local[place], tokens.starts[:-1][sizes > 0], axis=0)
+            keys = batch.column("key")
+            yield pa.record_batch([keys, pa.nulls(len(new), pa.int64()), pa.array(sizes.astype(np.int64)), _packed(sums)], ["key", "word", "n", "sums"])
+            if rare and len(place):
+                tail = np.flatnonzero(~found[place])
+                pair, n = np.unique(tokens.text[tail] * np.int64(len(words)) + place[tail], return_counts=True)
+                if len(pair):
+                    yield pa.record_batch([keys.take(pa.array(pair // len(words))), pa.array(words[pair % len(words)]), pa.array(n.astype(np.int64)), pa.nulls(len(pair), pa.binary())], ["key", "word", "n", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the text that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Rows of a text itself hold sums over its frequent words and its size, rows of its rare words a vector and a count.
+            whole = batch.column("whole").to_numpy(zero_copy_only=False)
+            n, data = batch.column("n").to_numpy(), batch.column("sums")
+            sums = np.zeros((batch.num_rows, SIZE))
+            if whole.any():
+                sums[whole] = _sums(data.filter(pa.array(whole)), np.float64)
+            if not whole.all():
+                sums[~whole] = _sums(data.filter(pa.array(~whole))) * n[~whole, None].astype(np.float64)
+            part = np.array(batch.column("key").to_pylist(), dtype=object), np.where(whole, n, 0), sums
+            keys, n, sums = _merged([last, part] if last else [part])
+            last = keys[-1:], n[-1:], sums[-1:]
+            yield means(keys[:-1], n[:-1], sums[:-1])
+        if last:
+            yield means(*last)
+
+    def means(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(keys, pa.binary()), _packed(sums / SCALE / np.maximum(1, n)[:, None])], ["key", "mean"])
+
+    rare, schema = vectors.rare, "key binary, word bigint, n bigint, sums binary"
+    parts = docs.select(text_key().alias("key"), "text").mapInArrow(run, schema)
+    if rare:
+        parts = Workspace(docs.sparkSession, "pooled").write(parts, "parts")
+    both = parts.where("word IS NULL").select("key", "n", "sums", F.lit(True).alias("whole"))
+    if rare:
+        tail = parts.where("word IS NOT NULL").select("key", "word", "n").join(vectors.table.select("word", "sums"), "word")
+        both = both.union(tail.select("key", "n", "sums", F.lit(False).alias("whole")))
+    return both.repartition("key").sortWithinPartitions("key").mapInArrow(add, "key binary, mean binary")
+
+
+def text_key():
+    """What equal texts have in common; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
 @dataclass
@@ -190,7 +331,7 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 class Model:
     """Word vectors and the network over them."""
 
-    vectors: np.ndarray
+    vectors: Vectors
     network: Network
 
 
@@ -201,19 +342,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     hashed ids. Null labels are left out; a document with several labels counts
     with each; other labels than 0 count as 1.
     """
-    vectors = word_vectors(context_sums(docs))
+    vectors = learned_vectors(docs)
     chosen = labels.where(learnable() & F.col(label).isNotNull()).select("doc_id", F.when(F.col(label) == 0, 0.0).otherwise(1.0).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    known = docs.sparkSession.sparkContext.broadcast(vectors)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            means = pooled(bytes_of(batch.column("text")), known.value)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([m.tobytes() for m in means], pa.binary())], ["doc_id", "label", "mean"])
-
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"doc_id {kind}, label double, mean binary").toPandas()  # `most` small rows
+    sample = Workspace(docs.sparkSession, "sample").write(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"), "texts")
+    means = pooled(sample, vectors)  # of distinct texts
+    rows = sample.select("doc_id", "label", text_key().alias("key")).join(means, "key").select("doc_id", "label", "mean").toPandas()  # `most` small rows
     rows = rows.sort_values(["doc_id", "label", "mean"])  # so that the order of tasks changes nothing
     x = np.array([np.frombuffer(m, dtype=np.float64) for m in rows["mean"]]).reshape(-1, SIZE)
     return Model(vectors, train(x, rows["label"].to_numpy(dtype=float)))
@@ -224,15 +358,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     The names get underscores before them where docs has such columns. Null and
     empty texts are scored as texts without words, repeated rows one by one; an
-    empty table stays empty.
+    empty table stays empty. Scores are found per distinct text and joined.
     """
-    name, predicted = fresh(docs, "quality_score"), fresh(docs, "quality_pred")
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    name, predicted, key = fresh(docs, "quality_score"), fresh(docs, "quality_pred"), fresh(docs, "text_key")
+    known = docs.sparkSession.sparkContext.broadcast(model.network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            p = known.value.network.probabilities(pooled(bytes_of(batch.column("text")), known.value.vectors))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names, name, predicted])
+        for batch in batches:
+            if batch.num_rows:
+                p = known.value.probabilities(_sums(batch.column("mean"), np.float64))
+                yield pa.record_batch([batch.column("key"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [key, name, predicted])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{name}` double, `{predicted}` int")
+    scores = pooled(docs, model.vectors).mapInArrow(run, f"`{key}` binary, `{name}` double, `{predicted}` int")
+    scores = broadcast_if_small(Workspace(docs.sparkSession, "scores").write(scores, "scores"))
+    return docs.withColumn(key, text_key()).join(scores, key).select(*(F.col(f"`{c}`") for c in docs.columns), name, predicted)

@@ -1,5 +1,6 @@
 """Language ID, quality and HTML extraction: brute force, held-out accuracy, odd rows."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -108,6 +109,32 @@ def test_context_sums_do_not_depend_on_partitions(spark):
     assert np.array_equal(quality.context_sums(docs.repartition(1)), quality.context_sums(docs.repartition(7)))
 
 
+@pytest.mark.parametrize("frequent", [3, 10**6])
+def test_every_word_has_a_vector_of_its_own(spark, frequent):
+    """More words than any fixed number of buckets; sums and means against plain loops, with words broadcast and joined."""
+    names = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(20_000)]
+    texts = [" ".join(names[i : i + 50]) for i in range(0, 20_000, 50)] + ["waaaa wbaaa waaaa", "", None, "waaaa wbaaa waaaa"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert len(quality.context_sums(docs)) == len(names)
+    word = lambda w: int(quality.Tokens([w.encode()]).words[0])
+    index, sums = {}, {}
+    for w in names:
+        dims, signs = quality.index_vectors(np.array([word(w)]))
+        index[w] = np.zeros(quality.SIZE)
+        np.add.at(index[w], dims[0], signs[0])
+    for t in texts:
+        ws = (t or "").split()
+        for i, w in enumerate(ws):
+            sums[w] = sums.get(w, 0) + sum(index[ws[j]] for j in range(max(0, i - 2), min(len(ws), i + 3)) if j != i)
+    wanted = {}
+    for t in texts:
+        ws = (t or "").split()
+        v = quality.word_vectors(np.array([sums[w] for w in ws])) / quality.SCALE if ws else np.zeros((1, quality.SIZE))
+        wanted[hashlib.md5((t or "").encode()).digest()] = v.mean(axis=0)
+    got = {bytes(r.key): np.frombuffer(r.mean) for r in quality.pooled(docs, quality.learned_vectors(docs, frequent)).collect()}
+    assert got.keys() == wanted.keys() and all(np.allclose(got[k], wanted[k], atol=1e-9) for k in got)
+
+
 def brute_sum_product(page, tables):
     """Marginals by trying all labellings."""
     root, edge, lengths_ratio, shares_ratio, paragraphs_ratio = tables
