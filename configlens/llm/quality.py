@@ -2,9 +2,11 @@
 
 Word vectors come from random indexing: each word has a sparse random index
 vector, and its context vector is the sum of its neighbours' index vectors over
-the whole corpus. A document is the mean of its words' vectors; a two-layer
-network scores it, and a temperature fitted on rows that the network hasn't seen
-calibrates the probability.
+the whole corpus. Words are counted first: those that occur LEAST times or more
+anywhere have a vector of their own, so the vocabulary grows with the corpus; the
+contexts of all rarer words add up to the one vector of rare words. A document is
+the mean of its words' vectors; a two-layer network scores it, and a temperature
+fitted on rows that the network hasn't seen calibrates the probability.
 """
 
 from __future__ import annotations
@@ -14,14 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Workspace, broadcast_if_small, bytes_of, fresh, hash_runs, learnable, mix64, slices
 
-#: Dimensions of word vectors; words whose sums a task holds before it hands them on; the most frequent words, whose vectors are broadcast.
-SIZE, HELD, FREQUENT = 48, 150_000, 500_000
+#: Dimensions of word vectors; occurrences from which a word has a vector of its own; the word that stands for all rarer ones.
+SIZE, LEAST, RARE = 48, 20, 0
+#: Words whose sums a task holds before it hands them on; the most frequent words, whose vectors are broadcast; bytes of text pooled at once.
+HELD, FREQUENT, TEXT = 60_000, 500_000, 1 << 19
 #: Vectors' entries are rounded to multiples of 1 / SCALE and summed as whole numbers, so that no order of tasks changes a sum.
 SCALE = 1 << 14
 #: Neighbours on each side, and non-zero entries of an index vector.
@@ -75,8 +81,15 @@ def _packed(values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(np.arange(0, (len(values) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _sums(column: pa.Array, kind: type = np.int16) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Rows of SIZE numbers as doubles; their width tells their type: one byte, two, four, or a double."""
+    out = np.empty((len(column), SIZE))
+    width = pc.binary_length(column).to_numpy(zero_copy_only=False) // SIZE
+    for kind in (np.int8, np.int16, np.int32, np.float64):
+        chosen = np.flatnonzero(width == np.dtype(kind).itemsize)
+        if len(chosen):
+            out[chosen] = np.frombuffer(b"".join(column.take(pa.array(chosen)).to_pylist()), dtype=kind).reshape(-1, SIZE)
+    return out
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,11 +101,40 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
     return words[first], np.add.reduceat(n[order], first), np.add.reduceat(sums[order], first, axis=0)
 
 
-def context_table(docs: DataFrame, vectors: bool = False) -> DataFrame:
-    """Each word (by its 64-bit hash), how often it occurs, and its context sums (64-bit floats) or vector (16-bit integers), over all texts.
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (a 64-bit hash) and n, how often it occurs in all texts; tasks add up a bounded number of words at a time."""
 
-    Tasks add up what they meet, a bounded number of words at a time; what they
-    hand on is added up by word, of which a task holds one batch.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in slices(batches, "text", 2 << 20):
+            words, n = np.unique(Tokens(bytes_of(batch.column("text"))).words, return_counts=True)
+            held.append((words, n))
+            count += len(words)
+            if count > 8 * HELD:
+                words, n = _counted(held)
+                held, count = [(words, n)], len(words)
+                if count > 4 * HELD:
+                    yield pa.record_batch([pa.array(words), pa.array(n)], ["word", "n"])
+                    held, count = [], 0
+        if held:
+            yield pa.record_batch([*map(pa.array, _counted(held))], ["word", "n"])
+
+    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _counted(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return words, np.bincount(place, weights=np.concatenate([p[1] for p in parts]), minlength=len(words)).astype(np.int64)
+
+
+def context_table(docs: DataFrame, vocabulary: Broadcast | None = None, least: int = LEAST, vectors: bool = False) -> DataFrame:
+    """Each word of the vocabulary and RARE, how often it occurs, and its context sums (doubles) or vector (16-bit integers), over all texts.
+
+    The vocabulary is a sorted array of the words that occur `least` times or
+    more. Without it all words are added up, and the rarer ones put together after
+    that, with the same result. Tasks add up what they meet, a bounded number of
+    words at a time; what they hand on is added up by word, of which a task holds
+    one batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,17 +145,24 @@ def context_table(docs: DataFrame, vectors: bool = False) -> DataFrame:
                 continue
             words, place = np.unique(tokens.words, return_inverse=True)
             dims, signs = index_vectors(words)
+            row = np.arange(len(words))  # row of the sums of each word; rare words share the first
+            names = words
+            if vocabulary is not None:
+                own = _contained(words, vocabulary.value)
+                row = np.where(own, np.cumsum(own), 0)
+                names = np.append(RARE, words[own])
+            to = row[place] * SIZE
             at, weight = [], []
             for gap in range(1, WINDOW + 1):
-                left, right = place[:-gap], place[gap:]
                 together = tokens.text[:-gap] == tokens.text[gap:]
-                left, right = left[together], right[together]
+                left, right = place[:-gap][together], place[gap:][together]
+                to_left, to_right = to[:-gap][together], to[gap:][together]
                 for j in range(NON_ZERO):
-                    at += [left * SIZE + dims[right, j], right * SIZE + dims[left, j]]
+                    at += [to_left + dims[right, j], to_right + dims[left, j]]
                     weight += [signs[right, j], signs[left, j]]
-            sums = np.bincount(np.concatenate(at), weights=np.concatenate(weight), minlength=len(words) * SIZE).reshape(-1, SIZE)
-            held.append((words, np.bincount(place), sums.astype(np.int32)))
-            count += len(words)
+            sums = np.bincount(np.concatenate(at), weights=np.concatenate(weight), minlength=len(names) * SIZE).reshape(-1, SIZE)
+            held.append((names, np.bincount(row[place], minlength=len(names)), sums.astype(np.int32)))
+            count += len(names)
             if count > HELD:
                 held = [_merged(held)]
                 count = len(held[0][0])
@@ -123,38 +172,55 @@ def context_table(docs: DataFrame, vectors: bool = False) -> DataFrame:
         if held:
             yield from _handed(_merged(held))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the word that the next batch may go on with
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            parts = [(batch.column("word").to_numpy(), batch.column("n").to_numpy(), _sums(batch.column("sums")).astype(np.float64))]
-            words, n, sums = _merged([last, *parts] if last else parts)
-            last = words[-1:], n[-1:], sums[-1:]
-            if len(words) > 1:
-                yield _rows(words[:-1], n[:-1], made(sums[:-1]))
-        if last:
-            yield _rows(last[0], last[1], made(last[2]))
+    def added(fold: bool, last: bool):
+        """Rows of equal words, which come together, as one: those of rarer words as RARE if fold, as vectors if last."""
 
-    made = word_vectors if vectors else np.asarray
+        def made(words: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            if fold:
+                words, n, sums = _merged([(np.where(n < least, RARE, words), n, sums)])
+            return _rows(words, n, word_vectors(sums) if last and vectors else sums)
 
-    return docs.select("text").mapInArrow(run, SUMS).repartition("word").sortWithinPartitions("word").mapInArrow(add, SUMS)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            open_row = None  # the word that the next batch may go on with
+            for batch in batches:
+                for at in range(0, batch.num_rows, 10_000):
+                    part = batch.slice(at, 10_000)
+                    rows = part.column("word").to_numpy(), part.column("n").to_numpy(), _unpacked(part.column("sums"))
+                    words, n, sums = _merged([open_row, rows] if open_row else [rows])
+                    open_row = words[-1:], n[-1:], sums[-1:]
+                    if len(words) > 1:
+                        yield made(words[:-1], n[:-1], sums[:-1])
+            if open_row:
+                yield made(*open_row)
+
+        return run
+
+    rows = docs.select("text").mapInArrow(run, SUMS)
+    for fold, last in [(False, True)] if vocabulary is not None else [(True, False), (False, True)]:
+        rows = rows.repartition("word").sortWithinPartitions("word").mapInArrow(added(fold, last), SUMS)
+    return rows
+
+
+def _contained(words: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which words are among names, a sorted array."""
+    at = np.minimum(np.searchsorted(names, words), max(0, len(names) - 1))
+    return names[at] == words if len(names) else np.zeros(len(words), dtype=bool)
 
 
 def _handed(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Batches of rows; sums beyond 16 bits are handed on in several rows."""
+    """Batches of rows; small sums take one byte each, others four."""
     words, n, sums = rows
-    while len(words):
-        part = np.clip(sums, -32767, 32767)
-        for a in range(0, len(words), 10_000):
-            yield _rows(words[a : a + 10_000], n[a : a + 10_000], part[a : a + 10_000].astype(np.int16))
-        more = np.flatnonzero((part != sums).any(axis=1))
-        words, n, sums = words[more], np.zeros(len(more), dtype=np.int64), (sums - part)[more]
+    small = (np.abs(sums) <= 127).all(axis=1)
+    for chosen, kind in ((small, np.int8), (~small, np.int32)):
+        at = np.flatnonzero(chosen)
+        for a in range(0, len(at), 10_000):
+            part = at[a : a + 10_000]
+            yield _rows(words[part], n[part], sums[part].astype(kind))
 
 
-def context_sums(docs: DataFrame) -> np.ndarray:
+def context_sums(docs: DataFrame, vocabulary: Broadcast | None = None, least: int = LEAST) -> np.ndarray:
     """The rows [word, n, *sums] of context_table(), by word; for small tables."""
-    rows = context_table(docs).orderBy("word").toArrow().combine_chunks()
+    rows = context_table(docs, vocabulary, least).orderBy("word").toArrow().combine_chunks()
     return np.array([(w, n, *np.frombuffer(s)) for w, n, s in zip(*(rows[c].to_pylist() for c in ("word", "n", "sums")), strict=True)], dtype=object)
 
 
@@ -167,37 +233,56 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vectors:
-    """All words' vectors, as a table, and the vectors of the most frequent ones, sorted by word."""
+    """Vectors of the vocabulary and of RARE as a table, whether that holds more than is broadcast, and what is: words in order, their vectors, that of RARE."""
 
     table: DataFrame
-    rare: bool
+    more: bool
     frequent: Broadcast
 
 
-def learned_vectors(docs: DataFrame, frequent: int | None = None) -> Vectors:
+def learned_vectors(docs: DataFrame, least: int = LEAST, frequent: int | None = None) -> Vectors:
+    """Vectors of the words of docs; those of the `frequent` most frequent ones are broadcast, a number that doesn't grow."""
     frequent = FREQUENT if frequent is None else frequent
-    work = Workspace(docs.sparkSession, "vectors")
-    table = work.write(context_table(docs, vectors=True), "table")
-    top = table.orderBy(F.desc("n"), "word").limit(frequent + 1).toArrow()  # FREQUENT words
-    rare, top = top.num_rows > frequent, top.slice(0, frequent).combine_chunks()
+    spark = docs.sparkSession
+    work = Workspace(spark, "vectors")
+    counts = work.write(word_counts(docs).where(F.col("n") >= least), "vocabulary")
+    few = counts.limit(frequent + 1).count() <= frequent
+    vocabulary = spark.sparkContext.broadcast(np.sort(counts.select("word").toArrow()["word"].to_numpy())) if few else None
+    table = work.write(context_table(docs, vocabulary, least, vectors=True), "table")
+    top = (table if few else table.orderBy(F.col("word") != RARE, F.desc("n"), "word").limit(frequent)).toArrow().combine_chunks()
     words = top["word"].to_numpy()
     vectors = np.frombuffer(b"".join(top["sums"].to_pylist()), dtype=np.int16).reshape(-1, SIZE)
+    rare = vectors[words == RARE][0] if (words == RARE).any() else np.zeros(SIZE, dtype=np.int16)
     order = np.argsort(words)
-    return Vectors(table, rare, docs.sparkSession.sparkContext.broadcast((words[order], vectors[order])))
+    return Vectors(table, not few, spark.sparkContext.broadcast((words[order], vectors[order], rare)))
+
+
+def _pooled_here(texts: list[bytes], known: tuple) -> tuple[np.ndarray, np.ndarray, Tokens, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text and the sums of their broadcast vectors; the tokens, distinct words, each token's word and whether it is broadcast."""
+    names, values, rare = known
+    tokens = Tokens(texts)
+    words, place = np.unique(tokens.words, return_inverse=True)
+    own = _contained(words, names)
+    local = np.empty((len(words), SIZE))
+    local[own], local[~own] = values[np.searchsorted(names, words[own])], rare
+    sizes, sums = np.diff(tokens.starts), np.zeros((len(texts), SIZE))
+    if len(place):
+        sums[sizes > 0] = np.add.reduceat(local[place], tokens.starts[:-1][sizes > 0], axis=0)
+    return sizes, sums, tokens, words, place, own
 
 
 def pooled(docs: DataFrame, vectors: Vectors) -> DataFrame:
     """key and mean of each distinct text: the mean of its words' vectors, zeros for a text without words.
 
-    Frequent words are looked up where the text is; rarer ones, which no key is
-    full of, are joined by word, and what a text has of both is added up.
+    Broadcast vectors are looked up where the text is. If the table holds more,
+    other words count as rare there, and rows of those that have a vector, which
+    no key is full of, bring the difference by a join.
     """
     known = vectors.frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, values = known.value
         seen: set[bytes] = set()  # copies of a text are left out where a task meets them; others change no mean
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", TEXT):
             new = []
             for i, key in enumerate(batch.column("key").to_pylist()):
                 if key not in seen:
@@ -208,59 +293,50 @@ def pooled(docs: DataFrame, vectors: Vectors) -> DataFrame:
             if not new:
                 continue
             batch = batch.take(pa.array(new))
-            tokens = Tokens(bytes_of(batch.column("text")))
-            words, place = np.unique(tokens.words, return_inverse=True)
-            at = np.minimum(np.searchsorted(names, words), max(0, len(names) - 1))
-            found = names[at] == words if len(names) else np.zeros(len(words), dtype=bool)
-            local = np.zeros((len(words) + 1, SIZE))
-            if found.any():
-                local[:-1][found] = values[at[found]]
-            sizes = np.diff(tokens.starts)
-            sums = np.zeros((len(new), SIZE))
-            if len(place):
-                sums[sizes > 0] = np.add.reduceat(local[place], tokens.starts[:-1][sizes > 0], axis=0)
+            sizes, sums, tokens, words, place, own = _pooled_here(bytes_of(batch.column("text")), known.value)
             keys = batch.column("key")
             yield pa.record_batch([keys, pa.nulls(len(new), pa.int64()), pa.array(sizes.astype(np.int64)), _packed(sums)], ["key", "word", "n", "sums"])
-            if rare and len(place):
-                tail = np.flatnonzero(~found[place])
+            if more:
+                tail = np.flatnonzero(~own[place])
                 pair, n = np.unique(tokens.text[tail] * np.int64(len(words)) + place[tail], return_counts=True)
                 if len(pair):
                     yield pa.record_batch([keys.take(pa.array(pair // len(words))), pa.array(words[pair % len(words)]), pa.array(n.astype(np.int64)), pa.nulls(len(pair), pa.binary())], ["key", "word", "n", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = known.value[2].astype(np.float64)
         last = None  # the text that the next batch may go on with
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            # Rows of a text itself hold sums over its frequent words and its size, rows of its rare words a vector and a count.
-            whole = batch.column("whole").to_numpy(zero_copy_only=False)
-            n, data = batch.column("n").to_numpy(), batch.column("sums")
-            sums = np.zeros((batch.num_rows, SIZE))
-            if whole.any():
-                sums[whole] = _sums(data.filter(pa.array(whole)), np.float64)
-            if not whole.all():
-                sums[~whole] = _sums(data.filter(pa.array(~whole))) * n[~whole, None].astype(np.float64)
-            part = np.array(batch.column("key").to_pylist(), dtype=object), np.where(whole, n, 0), sums
-            keys, n, sums = _merged([last, part] if last else [part])
-            last = keys[-1:], n[-1:], sums[-1:]
-            yield means(keys[:-1], n[:-1], sums[:-1])
+            for at in range(0, batch.num_rows, 10_000):
+                part = batch.slice(at, 10_000)
+                # Rows of a text itself hold sums over its words and its size, rows of its other words a vector and a count.
+                whole = part.column("whole").to_numpy(zero_copy_only=False)
+                n, sums = part.column("n").to_numpy(), _unpacked(part.column("sums"))
+                sums[~whole] = (sums[~whole] - rare) * n[~whole, None]
+                rows = np.array(part.column("key").to_pylist(), dtype=object), np.where(whole, n, 0), sums
+                keys, n, sums = _merged([last, rows] if last else [rows])
+                last = keys[-1:], n[-1:], sums[-1:]
+                yield means(keys[:-1], n[:-1], sums[:-1])
         if last:
             yield means(*last)
 
     def means(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(keys, pa.binary()), _packed(sums / SCALE / np.maximum(1, n)[:, None])], ["key", "mean"])
+        return pa.record_batch([pa.array(keys, pa.binary()), _packed(mean_of(sums, n))], ["key", "mean"])
 
-    rare, schema = vectors.rare, "key binary, word bigint, n bigint, sums binary"
+    more, schema = vectors.more, "key binary, word bigint, n bigint, sums binary"
     parts = docs.select(text_key().alias("key"), "text").mapInArrow(run, schema)
-    if rare:
+    if more:
         parts = Workspace(docs.sparkSession, "pooled").write(parts, "parts")
     both = parts.where("word IS NULL").select("key", "n", "sums", F.lit(True).alias("whole"))
-    if rare:
+    if more:
         tail = parts.where("word IS NOT NULL").select("key", "word", "n").join(vectors.table.select("word", "sums"), "word")
         both = both.union(tail.select("key", "n", "sums", F.lit(False).alias("whole")))
     return both.repartition("key").sortWithinPartitions("key").mapInArrow(add, "key binary, mean binary")
 
 
+def mean_of(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return sums / SCALE / np.maximum(1, n)[:, None]
+
+
 def text_key():
     """What equal texts have in common; null counts as empty."""
     return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
@@ -335,14 +411,14 @@ class Model:
     network: Network
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED, least: int = LEAST, frequent: int | None = None) -> Model:
     """Word vectors from all texts, and the network from labels of learnable documents.
 
     The network sees a bounded sample, the `most` labelled rows with the smallest
     hashed ids. Null labels are left out; a document with several labels counts
     with each; other labels than 0 count as 1.
     """
-    vectors = learned_vectors(docs)
+    vectors = learned_vectors(docs, least, frequent)
     chosen = labels.where(learnable() & F.col(label).isNotNull()).select("doc_id", F.when(F.col(label) == 0, 0.0).otherwise(1.0).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
     sample = Workspace(docs.sparkSession, "sample").write(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"), "texts")
@@ -358,17 +434,29 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     The names get underscores before them where docs has such columns. Null and
     empty texts are scored as texts without words, repeated rows one by one; an
-    empty table stays empty. Scores are found per distinct text and joined.
+    empty table stays empty. Where all vectors are broadcast, rows are scored where
+    they are; else scores are found per distinct text and joined.
     """
     name, predicted, key = fresh(docs, "quality_score"), fresh(docs, "quality_pred"), fresh(docs, "text_key")
-    known = docs.sparkSession.sparkContext.broadcast(model.network)
+    network = docs.sparkSession.sparkContext.broadcast(model.network)
+    known = model.vectors.frequent
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def columns(means: np.ndarray) -> list[pa.Array]:
+        p = network.value.probabilities(means)
+        return [pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))]
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", TEXT):
+            sizes, sums, *_ = _pooled_here(bytes_of(batch.column("text")), known.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns(mean_of(sums, sizes))], names=[*batch.schema.names, name, predicted])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p = known.value.probabilities(_sums(batch.column("mean"), np.float64))
-                yield pa.record_batch([batch.column("key"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [key, name, predicted])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), *columns(_unpacked(batch.column("mean")))], names=[key, name, predicted])
 
-    scores = pooled(docs, model.vectors).mapInArrow(run, f"`{key}` binary, `{name}` double, `{predicted}` int")
+    if not model.vectors.more:
+        return docs.mapInArrow(here, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
+    scores = pooled(docs, model.vectors).mapInArrow(joined, f"`{key}` binary, `{name}` double, `{predicted}` int")
     scores = broadcast_if_small(Workspace(docs.sparkSession, "scores").write(scores, "scores"))
     return docs.withColumn(key, text_key()).join(scores, key).select(*(F.col(f"`{c}`") for c in docs.columns), name, predicted)

@@ -1,10 +1,12 @@
 """Language ID, quality and HTML extraction: brute force, held-out accuracy, odd rows."""
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from configlens.llm import html_extract, lang_id, quality, queries
 from configlens.llm.labelled_pages import labelled_pages
@@ -109,32 +111,57 @@ def test_context_sums_do_not_depend_on_partitions(spark):
     assert np.array_equal(quality.context_sums(docs.repartition(1)), quality.context_sums(docs.repartition(7)))
 
 
-@pytest.mark.parametrize("frequent", [3, 10**6])
-def test_every_word_has_a_vector_of_its_own(spark, frequent):
-    """More words than any fixed number of buckets; sums and means against plain loops, with words broadcast and joined."""
-    names = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(20_000)]
-    texts = [" ".join(names[i : i + 50]) for i in range(0, 20_000, 50)] + ["waaaa wbaaa waaaa", "", None, "waaaa wbaaa waaaa"]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    assert len(quality.context_sums(docs)) == len(names)
+def plain_words(texts, least):
+    """Vectors of words (b"" for rare ones) and the means of texts, by plain loops."""
     word = lambda w: int(quality.Tokens([w.encode()]).words[0])
-    index, sums = {}, {}
-    for w in names:
-        dims, signs = quality.index_vectors(np.array([word(w)]))
-        index[w] = np.zeros(quality.SIZE)
-        np.add.at(index[w], dims[0], signs[0])
+    index, sums, count = {}, {}, {}
+    for w in (w for t in texts for w in (t or "").split()):
+        count[w] = count.get(w, 0) + 1
+        if w not in index:
+            dims, signs = quality.index_vectors(np.array([word(w)]))
+            index[w] = np.zeros(quality.SIZE)
+            np.add.at(index[w], dims[0], signs[0])
+    named = lambda w: w if count[w] >= least else ""
     for t in texts:
         ws = (t or "").split()
         for i, w in enumerate(ws):
-            sums[w] = sums.get(w, 0) + sum(index[ws[j]] for j in range(max(0, i - 2), min(len(ws), i + 3)) if j != i)
-    wanted = {}
+            sums[named(w)] = sums.get(named(w), 0) + sum(index[ws[j]] for j in range(max(0, i - 2), min(len(ws), i + 3)) if j != i)
+    means = {}
     for t in texts:
         ws = (t or "").split()
-        v = quality.word_vectors(np.array([sums[w] for w in ws])) / quality.SCALE if ws else np.zeros((1, quality.SIZE))
-        wanted[hashlib.md5((t or "").encode()).digest()] = v.mean(axis=0)
-    got = {bytes(r.key): np.frombuffer(r.mean) for r in quality.pooled(docs, quality.learned_vectors(docs, frequent)).collect()}
+        v = quality.word_vectors(np.array([sums[named(w)] for w in ws])) / quality.SCALE if ws else np.zeros((1, quality.SIZE))
+        means[t or ""] = v.mean(axis=0)
+    return means
+
+
+@pytest.mark.parametrize(("least", "frequent"), [(1, 3), (1, 10**6), (3, 10**6), (3, 20)])
+def test_words_have_vectors_of_their_own(spark, least, frequent):
+    """More words than any fixed number of buckets; means against plain loops, with words broadcast and joined, and rare words put together."""
+    names = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(20_000)]
+    texts = [" ".join(names[i : i + 50]) for i in range(0, 20_000, 50)] + [" ".join(names[i : i + 9]) for i in range(0, 900, 3)] + ["waaaa wbaaa waaaa", "", None, "waaaa wbaaa waaaa"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    wanted = {hashlib.md5(t.encode()).digest(): m for t, m in plain_words(texts, least).items()}
+    vectors = quality.learned_vectors(docs, least, frequent)
+    assert vectors.more == (frequent < 100)
+    got = {bytes(r.key): np.frombuffer(r.mean) for r in quality.pooled(docs, vectors).collect()}
     assert got.keys() == wanted.keys() and all(np.allclose(got[k], wanted[k], atol=1e-9) for k in got)
 
 
+@pytest.mark.parametrize("frequent", [20, 10**6])
+def test_op9_equals_brute_force(spark, sf_dir, frequent):
+    """Every score of the query's operator from texts alone: word vectors, means and the network by plain loops."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.withColumn("text", F.lower(F.regexp_replace("text", "[^a-zA-Z]+", " ")))  # words that split() finds as well
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), frequent=frequent)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    means = plain_words(list(texts.values()), quality.LEAST)
+    net = model.network
+    for r in quality.score(docs, model).collect():
+        hidden = np.tanh((means[texts[r.doc_id]] - net.mean) / net.scale @ net.first + net.first_bias)
+        p = 1 / (1 + math.exp(-(float(hidden @ net.second) + net.second_bias) / net.temperature))
+        assert abs(p - r.quality_score) < 1e-9 and r.quality_pred == int(r.quality_score >= 0.3)
+
+
 def brute_sum_product(page, tables):
     """Marginals by trying all labellings."""
     root, edge, lengths_ratio, shares_ratio, paragraphs_ratio = tables
