@@ -27,7 +27,7 @@ from .common import Workspace, broadcast_if_small, bytes_of, fresh, hash_runs, l
 #: Dimensions of word vectors; occurrences from which a word has a vector of its own; the word that stands for all rarer ones.
 SIZE, LEAST, RARE = 48, 20, 0
 #: Words whose sums a task holds before it hands them on; the most frequent words, whose vectors are broadcast; bytes of text pooled at once.
-HELD, FREQUENT, TEXT = 60_000, 500_000, 1 << 19
+HELD, FREQUENT, TEXT = 150_000, 500_000, 1 << 19
 #: Vectors' entries are rounded to multiples of 1 / SCALE and summed as whole numbers, so that no order of tasks changes a sum.
 SCALE = 1 << 14
 #: Neighbours on each side, and non-zero entries of an index vector.
@@ -110,10 +110,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
             words, n = np.unique(Tokens(bytes_of(batch.column("text"))).words, return_counts=True)
             held.append((words, n))
             count += len(words)
-            if count > 8 * HELD:
+            if count > 4 * HELD:
                 words, n = _counted(held)
                 held, count = [(words, n)], len(words)
-                if count > 4 * HELD:
+                if count > 2 * HELD:
                     yield pa.record_batch([pa.array(words), pa.array(n)], ["word", "n"])
                     held, count = [], 0
         if held:
@@ -132,25 +132,24 @@ def context_table(docs: DataFrame, vocabulary: Broadcast | None = None, least: i
 
     The vocabulary is a sorted array of the words that occur `least` times or
     more. Without it all words are added up, and the rarer ones put together after
-    that, with the same result. Tasks add up what they meet, a bounded number of
-    words at a time; what they hand on is added up by word, of which a task holds
-    one batch.
+    that, with the same result. Tasks add up what they meet, of the vocabulary or
+    else a bounded number of words at a time; what they hand on is added up by
+    word, of which a task holds one batch.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        for batch in slices(batches, "text", 2 << 20):
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Words of some texts (with a vocabulary, their places in it after that of RARE), how often they occur, and their sums."""
+        for batch in slices(batches, "text", 1 << 20):
             tokens = Tokens(bytes_of(batch.column("text")))
             if not len(tokens.words):
                 continue
             words, place = np.unique(tokens.words, return_inverse=True)
             dims, signs = index_vectors(words)
-            row = np.arange(len(words))  # row of the sums of each word; rare words share the first
-            names = words
+            row, names = np.arange(len(words)), words  # row of the sums of each word; rare words share the first
             if vocabulary is not None:
                 own = _contained(words, vocabulary.value)
                 row = np.where(own, np.cumsum(own), 0)
-                names = np.append(RARE, words[own])
+                names = np.append(0, 1 + np.searchsorted(vocabulary.value, words[own]))
             to = row[place] * SIZE
             at, weight = [], []
             for gap in range(1, WINDOW + 1):
@@ -161,8 +160,23 @@ def context_table(docs: DataFrame, vocabulary: Broadcast | None = None, least: i
                     at += [to_left + dims[right, j], to_right + dims[left, j]]
                     weight += [signs[right, j], signs[left, j]]
             sums = np.bincount(np.concatenate(at), weights=np.concatenate(weight), minlength=len(names) * SIZE).reshape(-1, SIZE)
-            held.append((names, np.bincount(row[place], minlength=len(names)), sums.astype(np.int32)))
-            count += len(names)
+            yield names, np.bincount(row[place], minlength=len(names)), sums.astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if vocabulary is not None:  # of bounded size: a task adds up all it meets and hands each word on once
+            n, sums = np.zeros(len(vocabulary.value) + 1, dtype=np.int64), np.zeros((len(vocabulary.value) + 1, SIZE), dtype=np.int32)
+            for at, more, part in contexts(batches):
+                n[at] += more
+                sums[at] += part
+            met = np.flatnonzero(n)
+            for a in range(0, len(met), 50_000):
+                at = met[a : a + 50_000]
+                yield from _handed((np.append(RARE, vocabulary.value)[at], n[at], sums[at]))
+            return
+        held, count = [], 0
+        for part in contexts(batches):
+            held.append(part)
+            count += len(part[0])
             if count > HELD:
                 held = [_merged(held)]
                 count = len(held[0][0])
