@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a new local one where that is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
         found = f"file://{tempfile.mkdtemp(prefix='configlens-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -89,6 +93,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             at = to
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each group of rows that come sorted by the columns `by`."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in by])
+        starts = np.flatnonzero(np.any(np.diff(keys, axis=1) != 0, axis=0)) + 1
+        for a, b in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+            now = tuple(keys[:, a])
+            if now != key and held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            key = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it, so that it clashes with no column of df."""
     taken = {c.lower() for c in df.columns}

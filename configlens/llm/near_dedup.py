@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, Workspace, broadcast_if_small, bytes_of, mix64, slices, window_hashes
+from .common import Words, Workspace, broadcast_if_small, bytes_of, mix64, slices, sorted_groups, window_hashes
 from .components import components
 
 #: Words of a shingle; links have 100 * intersection >= PERCENT * union.
@@ -222,7 +222,7 @@ def across(named: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = Pairs()
-        for group in _groups(batches, cell):
+        for group in sorted_groups(batches, cell):
             get = lambda c: group.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
             component, ids, n, mine, own = get("component"), get("class"), get("n_shingles").astype(float), get("mine"), get("own")
             if len(np.unique(component)) < 2:
@@ -304,25 +304,6 @@ class Pairs:
         return pa.record_batch([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of each group of rows that come sorted by the columns `by`."""
-    held, key = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in by])
-        starts = np.flatnonzero(np.any(np.diff(keys, axis=1) != 0, axis=0)) + 1
-        for a, b in zip([0, *starts], [*starts, batch.num_rows], strict=True):
-            now = tuple(keys[:, a])
-            if now != key and held:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-            key = now
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """class and hashes of the sets of wanted (doc_id, class), made again from the texts.
 
