@@ -3,8 +3,9 @@
 All scores are counted in a histogram per query; the bin that holds the k-th
 score is split into the next histogram until it is one score wide. Then rows
 above the k-th score, and the smallest ids that tie with it, are filtered. Every
-pass scores blocks of vectors against blocks of queries and adds up fixed-size
-counts, so nothing depends on how scores or ties are spread.
+pass scores blocks of vectors against blocks of queries and adds up counts of
+filled bins, so nothing depends on how scores or ties are spread. Queries are
+dealt into even groups of a fixed size, each broadcast in its turn.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ann_search import matrix, usable
+from .ann_search import common_length, matrix, usable
 from .common import Workspace
 
 NEIGHBOURS, SCALE = 5, 256
 #: Rows of a block of vectors and of queries, bins of a histogram, bytes of query blocks that are broadcast at once.
 BLOCK, QUERIES, BINS, GROUP_BYTES = 4096, 512, 512, 32 << 20
-#: Query blocks whose counts a task holds before it hands them on.
-HELD = 32
+#: Query blocks whose counts a task holds before it hands them on; shares of a block's counts that are added up apart, then together.
+HELD, SHARES = 32, 16
 
 
 def products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -67,26 +68,40 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_column:
     Components x count as floor(256 * x), scores are their integer inner
     products, ties go to smaller vec_ids, and rows with the query's id are no
     candidates of it. Vectors that are null, hold null or non-finite components
-    or have another length than the longest take no part, nor do rows without id;
+    or have another length than most take no part, nor do rows without id;
     repeated rows are candidates each. With fewer candidates than k all are
-    returned; an empty table gives no rows.
+    returned; an empty table gives no rows. Vectors so long that scores may not
+    fit 64 bits raise an OverflowError.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "topk")
-    rows = usable(vectors, id_column, vector_column)
-    dim = rows.agg(F.max(F.size("vec"))).first()[0]
-    empty = "query_id bigint, rank int, vec_id bigint, score bigint"
+    rows = usable(vectors, id_column, vector_column).where(F.size("vec") > 0)
+    dim = common_length(rows)
+    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     if not dim:
-        return spark.createDataFrame([], empty)
+        return empty
     rows = rows.where(F.size("vec") == dim).select(F.col("vec_id").cast("bigint"), "vec")
-    data = work.write(rows.mapInArrow(_packed(BLOCK), "ids binary, data binary"), "data")
-    asked = rows.where(is_query)
+    asked = work.write(rows.where(is_query).dropDuplicates(["vec_id"]), "asked")
     count = asked.count()
-    if not count:
-        return spark.createDataFrame([], empty)
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + F.pow(F.floor(x * SCALE).cast("double"), F.lit(2.0)))
-    reach = math.sqrt(rows.agg(F.max(square)).first()[0]) + 1.0
+    facts = rows.agg(F.max(square).alias("square"), F.count("*").alias("n")).first()
+    if not count or facts.n < 2:
+        return empty
+    if facts.square >= 2**62:
+        raise OverflowError(f"scores of vectors as long as these ({math.sqrt(facts.square):.3g} in units of 1 / {SCALE}) may not fit 64 bits")
+    reach = math.sqrt(facts.square) + 1.0
+    data = work.write(rows.mapInArrow(_packed(BLOCK), "ids binary, data binary"), "data")
     groups = max(1, math.ceil(count * (dim + 4) * 8 / GROUP_BYTES))
+    group = F.pmod(F.xxhash64("vec_id"), F.lit(groups))
+    found = [_group_top(work, data, asked.where(group == g), f"{g}", dim, reach, k) for g in range(groups)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _group_top(work: Workspace, data: DataFrame, asked: DataFrame, name: str, dim: int, reach: float, k: int) -> DataFrame:
+    """The k highest scores of one group of queries, of rows that can be broadcast."""
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Query blocks with a first range that holds every possible score: sum-of-products bound of the norms."""
@@ -96,16 +111,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_column:
             width = -(-(2 * bound + 1) // BINS)
             state = np.stack([-bound, width, np.full(len(bound), k, dtype=np.int64)])
             number = int(_ints(block.column("ids")[0].as_py())[0])  # ids are distinct across blocks, so each names its block
-            yield pa.record_batch([pa.array([number]), pa.array([number % groups], pa.int32()), *block.columns, pa.array([state.tobytes()], pa.binary())], ["block", "part", "query_ids", "queries", "state"])
+            yield pa.record_batch([pa.array([number]), *block.columns, pa.array([state.tobytes()], pa.binary())], ["block", "query_ids", "queries", "state"])
 
-    blocks = math.ceil(count / QUERIES)
-    block_schema = "block bigint, part int, query_ids binary, queries binary, state binary"
-    queries = work.write(asked.dropDuplicates(["vec_id"]).repartition(blocks, "vec_id").mapInArrow(begun, block_schema), "queries0")
+    block_schema = "block bigint, query_ids binary, queries binary, state binary"
+    queries = work.write(asked.coalesce(4).mapInArrow(begun, block_schema), f"queries{name}_0")
 
     def met(queries: DataFrame) -> DataFrame:
-        """Every block of vectors with every block of queries; one group of queries is broadcast, of more each gets its copy of the vectors."""
-        copies = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        return copies.join(F.broadcast(queries) if groups == 1 else queries, "part").select("ids", "data", "block", "query_ids", "queries", "state")
+        """Every block of vectors with every block of the group's queries."""
+        return data.join(F.broadcast(queries)).select("ids", "data", "block", "query_ids", "queries", "state")
 
     def scored(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         get = lambda c: _ints(batch.column(c)[i].as_py())
@@ -133,29 +146,36 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_column:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for number, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                held[number] = held[number] + _ints(counts) if number in held else _ints(counts)
+            for number, bins, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "bins", "counts")), strict=True):
+                at, n = np.frombuffer(bins, dtype=np.int32), _ints(counts)
+                if number not in held:
+                    held[number] = np.zeros(QUERIES * (BINS + 1), dtype=np.int64)
+                held[number][at] += n
         yield _counts(held)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             states = []
-            for state, counts in zip(batch.column("state").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for state, filled, counts in zip(*(batch.column(c).to_pylist() for c in ("state", "bins", "counts")), strict=True):
                 low, width, need = _ints(state).reshape(3, -1)
-                bins = _ints(counts).reshape(-1, BINS + 1) if counts else np.zeros((len(low), BINS + 1), dtype=np.int64)
+                bins = np.zeros((len(low), BINS + 1), dtype=np.int64)
+                if filled:
+                    bins.ravel()[np.frombuffer(filled, dtype=np.int32)] = _ints(counts)
                 from_top = np.cumsum(bins[:, ::-1], axis=1)[:, ::-1]  # scores in this bin or above
                 reached = from_top >= need[:, None]
                 bin_ = np.where(reached.any(axis=1), BINS - np.argmax(reached[:, ::-1], axis=1), 0)
                 states.append(np.stack([low + bin_ * width, np.maximum(1, -(-width // BINS)), need]).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "part", "query_ids", "queries")), pa.array(states, pa.binary())], names=["block", "part", "query_ids", "queries", "state"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "query_ids", "queries")), pa.array(states, pa.binary())], names=["block", "query_ids", "queries", "state"])
 
     widest = -(-(2 * int(reach * reach) + 3) // BINS)
     step = 0
+    schema = "block bigint, bins binary, counts binary"
     while True:
-        counts = met(queries).mapInArrow(histogram, "block bigint, counts binary").repartition("block").mapInArrow(add, "block bigint, counts binary")
+        counts = met(queries).mapInArrow(histogram, schema).withColumn("share", F.pmod(F.spark_partition_id(), F.lit(SHARES)))
+        counts = counts.repartition("block", "share").select("block", "bins", "counts").mapInArrow(add, schema).repartition("block").mapInArrow(add, schema)
         step += 1
-        queries = work.write(queries.join(counts, "block", "left").mapInArrow(refine, block_schema), f"queries{step}")
-        work.drop(f"queries{step - 1}")
+        queries = work.write(queries.join(counts, "block", "left").mapInArrow(refine, block_schema), f"queries{name}_{step}")
+        work.drop(f"queries{name}_{step - 1}")
         if widest <= 1:
             break
         widest = -(-widest // BINS)
@@ -175,8 +195,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_column:
 
     found = met(queries).mapInArrow(chosen, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return work.write(found, f"found{name}")
 
 
 def _counts(held: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(list(held), pa.int64()), pa.array([c.astype(np.int64).tobytes() for c in held.values()], pa.binary())], ["block", "counts"])
+    """The filled bins of the counts of query blocks."""
+    filled = {number: np.flatnonzero(counts).astype(np.int32) for number, counts in held.items()}
+    bins, counts = ([x.tobytes() for x in of] for of in (filled.values(), (held[n][at].astype(np.int64) for n, at in filled.items())))
+    return pa.record_batch([pa.array(list(held), pa.int64()), pa.array(bins, pa.binary()), pa.array(counts, pa.binary())], ["block", "bins", "counts"])

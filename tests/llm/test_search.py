@@ -65,6 +65,7 @@ def test_recall_of_op3(spark, sf_dir):
 def test_two_axes_and_salted_buckets(spark, monkeypatch):
     monkeypatch.setattr(ann_search, "BLOCK", 32)
     monkeypatch.setattr(ann_search, "OCCUPANCY", 1)
+    monkeypatch.setattr(ann_search, "ASKED", 3)
     monkeypatch.setattr(ann_search, "QUERIES", 4)
     monkeypatch.setattr(ann_search, "KEPT", 50)
     x = vectors(2)
@@ -130,6 +131,36 @@ def test_top_k_is_exact(spark, monkeypatch, group_bytes):
         assert [i for i, _ in found] == wanted and all(s == scores(q)[list(ids).index(i)] for i, s in found)
 
 
+def test_top_k_groups_are_even(spark, monkeypatch):
+    """Ids that are all multiples of 50 are dealt evenly into groups of bounded size."""
+    sizes, real = [], topk_search._group_top
+
+    def counted(work, data, asked, *rest):
+        sizes.append(asked.count())
+        return real(work, data, asked, *rest)
+
+    monkeypatch.setattr(topk_search, "_group_top", counted)
+    monkeypatch.setattr(topk_search, "GROUP_BYTES", 400 * (4 + 4) * 8 // 8)
+    rows = spark.range(20_000).selectExpr("id AS vec_id", "array(id % 7 / 8D, id % 11 / 8D, id % 13 / 8D, 0.5D) AS embedding")
+    assert topk_search.top_k(rows, F.col("vec_id") % 50 == 0, k=1).count() == 400
+    assert len(sizes) == 8 and sum(sizes) == 400 and max(sizes) <= 2 * 400 / 8
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    rows = spark.createDataFrame([(0, [1e12, -3.0]), (1, [2e12, 5.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(OverflowError):
+        topk_search.top_k(rows, F.col("vec_id") == 0)
+
+
+def test_a_stray_longer_vector_changes_nothing(spark):
+    x = vectors(3, n=60)
+    rows = table(spark, x)
+    longer = spark.createDataFrame([(7777, [1.0] * 30, "o")], rows.schema)
+    for search in (topk_search.top_k, ann_search.nearest):
+        a, b = (sorted(map(tuple, search(t, F.col("vec_id") % 20 == 0).collect())) for t in (rows, rows.union(longer)))
+        assert a == b and a
+
+
 def test_few_vectors_and_large_values(spark):
     rows = spark.createDataFrame([(0, [1e12, -3.0]), (1, [2e12, 5.0]), (2, [0.0, 0.0])], "vec_id bigint, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in topk_search.top_k(rows.where("vec_id < 1"), F.col("vec_id") == 0).collect()]
