@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -74,7 +76,8 @@ _ENDS_P = {t for k in ("nav", "header", "footer", "aside", "form", "article", "m
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}}
 _BOUND = {"ul", "ol", "dl", "table", "article", "section", "div", "nav", "aside", "body"}
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|data-content)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _HINT_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -93,32 +96,71 @@ class Page:
 
 
 def _tags(source: str) -> list[tuple[int, int, bool, str, str]]:
-    """Begin, end, whether closing, name and attributes of each tag outside of comments and raw texts; raw elements are one tag named `raw`."""
-    tags, endless = [], set()
-    at = 0
-    while found := _MARKUP.search(source, at):
-        at = found.end()
-        name = found[2] or found[5]
-        if not name:
-            tags.append((found.start(), at, False, "", ""))
+    """Begin, end, whether closing, name and attributes of each tag outside of comments and raw texts; raw elements are one tag named `raw`.
+
+    Goes over the page once. After a quote in a tag that nothing closes, tags end
+    at the next `>` for the rest of the page.
+    """
+    tags, marks = [], {}
+    last = source.rfind(">")  # no tag ends later
+    quoted, at = True, 0
+
+    def marked(name: str) -> tuple[list[int], list[tuple[int, int]]]:
+        """Where start tags of a raw element begin, and its end tags."""
+        if name not in marks:
+            both = re.compile(rf"<(/?){name}\b[^>]*>", re.IGNORECASE)
+            starts, ends = marks[name] = [], []
+            for found in both.finditer(source, 0, last + 1):
+                if found[1]:
+                    ends.append(found.span())
+                else:
+                    starts.append(found.start())
+        return marks[name]
+
+    while True:
+        begin = source.find("<", at)
+        if begin < 0:
+            break
+        if source.startswith("<!--", begin):
+            end = source.find("-->", begin + 4)
+            at = len(source) if end < 0 else end + 3
+            tags.append((begin, at, False, "", ""))
+            continue
+        if begin > last:
+            break
+        found = _NAME.match(source, begin)
+        if not found:
+            at = begin + 1
+            if source[at : at + 1] in ("!", "?", "/"):
+                at = source.index(">", at) + 1
+                tags.append((begin, at, False, "", ""))
             continue
-        closing, name, attributes = bool(found[1] or found[4]), name.lower(), found[3] or found[6] or ""
+        closing, name, after = source[begin + 1] == "/", found[1].lower(), found.end()
+        end = _ATTRIBUTES.match(source, after).end() if quoted else source.index(">", after)
+        if end >= len(source) or source[end] != ">":
+            quoted = False
+            end = source.find(">", after)
+            if end < 0:
+                break
+        attributes, at = source[after:end], end + 1
         if name in RAW and not closing:
-            end = None if name in endless else re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(source, at)
-            if name in ("iframe", "noscript") and end and re.compile(rf"<{name}\b", re.IGNORECASE).search(source, at, end.start()):
-                end = None  # left open; the end is of a later one
-            elif end is None:
-                endless.add(name)
-            if end:
-                at = end.end()
+            starts, ends = marked(name)
+            k = bisect_left(ends, (at, 0))
+            span = ends[k] if k < len(ends) else None
+            if span and name in ("iframe", "noscript"):
+                inner = bisect_left(starts, at)
+                if inner < len(starts) and starts[inner] < span[0]:
+                    span = None  # left open; the end is of a later one
+            if span:
+                at = span[1]
             elif name in ("script", "style"):
                 at = len(source)  # code up to the end of the page
             elif name in ("title", "textarea"):
                 tag = source.find("<", at)
                 at = len(source) if tag < 0 else tag
-            tags.append((found.start(), at, False, "raw:" + name, ""))
+            tags.append((begin, at, False, "raw:" + name, ""))
             continue
-        tags.append((found.start(), at, closing, name, attributes))
+        tags.append((begin, at, closing, name, attributes))
     return tags
 
 
@@ -145,7 +187,9 @@ def parse(source: str) -> Page:
     texts: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]
     open_count = {"html": 1}
+    paragraphs, bounds = [], []  # depths of open p elements, and of those that keep a p apart from what is in them
     hidden: list[tuple[str, int, bool]] = []  # open hidden elements: name, open blocks around, whether closed by a tag of its own
+    hides: Counter[str] = Counter()  # how many of each are open, and under "" how many that no tag of their own closes
     links, pending, began = 0, [], False
     at = 0
 
@@ -158,7 +202,7 @@ def parse(source: str) -> Page:
 
     def add(text: str) -> None:
         if hidden and hidden[-1][0] == "head" and not text.isspace() and text:
-            hidden.pop()
+            show()
         if text and not hidden:
             pending.append(text)
             shown = len(text) - text.count(" ")
@@ -166,11 +210,20 @@ def parse(source: str) -> Page:
             if links:
                 linked[stack[-1][1]] += shown
 
+    def show() -> str:
+        name, _, has_end = hidden.pop()
+        hides[name] -= 1
+        hides[""] -= not has_end and name != "head"
+        return name
+
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
             open_count[stack.pop()[0]] -= 1
+        for depths in (paragraphs, bounds):
+            while depths and depths[-1] >= depth:
+                depths.pop()
         while hidden and hidden[-1][1] > depth:
-            hidden.pop()
+            show()
 
     tags = _tags(source)
     closed = _closed(tags)
@@ -181,22 +234,25 @@ def parse(source: str) -> Page:
             continue
         in_head = name.removeprefix("raw:") in IN_HEAD
         if not closing and not in_head and hidden and hidden[-1][0] == "head":
-            hidden.pop()
+            show()
         if name.startswith("raw:"):
             began |= not in_head
             continue
         if name in HIDDEN:
             if closing:
-                if any(name == h[0] for h in hidden):
-                    while hidden.pop()[0] != name:
+                if hides[name]:
+                    while show() != name:
                         pass
             elif not attributes.endswith("/") and not (name == "head" and (began or pending or texts)):
                 hidden.append((name, len(stack), number in closed))
+                hides[name] += 1
+                hides[""] += number not in closed and name != "head"
             began |= not in_head
             continue
         began |= not closing and not in_head
         if name == "body":
             hidden.clear()
+            hides.clear()
         if name == "a":
             links = 0 if closing else 1
             continue
@@ -207,10 +263,8 @@ def parse(source: str) -> Page:
             if name in ("td", "th", "img", "input", "hr"):
                 add(" ")
             continue
-        for k, (opened, _, has_end) in enumerate(hidden):
-            if not has_end and opened != "head":
-                del hidden[k:]
-                break
+        while hides[""]:
+            show()
         flush()
         links = 0
         name = "h1" if len(name) == 2 and name[0] == "h" and name != "hr" else name  # any heading's end tag ends any heading
@@ -227,10 +281,8 @@ def parse(source: str) -> Page:
             continue
         around = hidden[-1][1] if hidden else 0  # a start tag in a hidden element ends no block around that
         if name in _ENDS_P and open_count.get("p", 0):
-            depth = len(stack) - 1
-            while depth and stack[depth][0] not in ("p", *_BOUND):
-                depth -= 1
-            if depth >= around and stack[depth][0] == "p":
+            depth = paragraphs[-1]
+            if depth >= around and (not bounds or depth > bounds[-1]):
                 pop_to(depth)
         if name in _SAME:
             depth = len(stack) - 1
@@ -249,6 +301,8 @@ def parse(source: str) -> Page:
         given.append(_given(attributes))
         length.append(0)
         linked.append(0)
+        if name == "p" or name in _BOUND:
+            (paragraphs if name == "p" else bounds).append(len(stack))
         stack.append((name, node))
         open_count[name] = open_count.get(name, 0) + 1
     add(source[at:])
