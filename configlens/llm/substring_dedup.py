@@ -1,22 +1,26 @@
-"""Substring dedup (7) by prefix-partitioned suffix groups.
-
-A window is a suffix cut at WINDOW words; windows that start with equal words up
-to that depth are the leaves below one deep node of the corpus's suffix tree,
-and all leaves but the first are repeats. The tree is never held as a whole. Its
-suffixes are partitioned by prefixes of variable length, one level at a time:
-
-1. Each window is filed under its anchor, the PREFIX consecutive words in it with
-   the smallest hash. Equal windows have equal anchors at equal places, and
-   neighbouring windows mostly share one, so a block of windows makes one row.
-   Anchors that occur once head subtrees of a single leaf and are dropped.
-2. Below a repeated anchor, the prefix grows to all words that the block's
-   windows span. Blocks equal to that depth repeat window by window, so all but
-   the first are whole repeats: these groups are deep internal nodes already.
-3. Only where different blocks hang below one anchor, at the borders of maximal
-   repeats, are single windows compared, and of each block only the first one.
-
-Each level is an aggregation, which takes partial results first, and a join with
-it, so a prefix with a third of all rows is never gathered in one task.
+"""Substring dedup (7) by prefix-partitioned suffix trees.
+
+A window is a suffix cut at WINDOW words. In the suffix tree of the corpus all
+windows of equal words hang below one internal node of that depth, and all its
+leaves but the first are repeats. The tree is never held as a whole:
+
+1. Suffixes that can't lie below such a node are left out. Each window is filed
+   under its anchor, the ANCHOR consecutive words in it with the smallest hash,
+   which equal windows have at equal places. Neighbouring windows mostly share
+   one, so a block of windows makes one row. An anchor that occurs once heads a
+   subtree of single leaves.
+2. Blocks of equal words below an anchor are one leaf, with its first place and
+   a count, so that copies never meet in a task. Where an anchor has a single
+   leaf, all of its places but the first are repeats.
+3. The windows of all other leaves are the suffixes that are dealt: by a prefix
+   of DEPTHS[0] words, and by longer ones below prefixes that more than GROUP
+   suffixes share, so that each group fits into memory. A task builds the tree of
+   each group from the top: it splits nodes by their suffixes' next words, drops
+   nodes of one leaf, and what is left at depth WINDOW are the deep internal
+   nodes. A prefix of WINDOW words that is still shared by more than GROUP
+   suffixes is such a node by itself, whose first leaf an aggregation finds.
+
+Runs of repeated windows make up the maximal repeats, whose words are removed.
 """
 
 from __future__ import annotations
@@ -26,14 +30,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, BROADCAST_ROWS, Words, Workspace, bytes_of, mix64, slices, window_hashes
+from .common import BASE, BROADCAST_ROWS, Words, Workspace, broadcast_if_small, bytes_of, mix64, slices, window_hashes
 
 #: Words of a window, and of an anchor.
-WINDOW, PREFIX = 20, 6
+WINDOW, ANCHOR = 20, 6
+#: Words of the prefixes that suffixes are dealt by, the next one where a group is too large; the last is WINDOW. Suffixes of a group.
+DEPTHS, GROUP = (8, 12, 16, 20), 100_000
+#: Suffixes whose trees a task builds at once, at least.
+AT_ONCE = 50_000
 
 
 @cache
@@ -59,8 +68,8 @@ class Spans:
 
 def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each window of a word array: where its anchor starts, and all anchor hashes; the leftmost of equal ones."""
-    grams = window_hashes(words, PREFIX)
-    places = WINDOW - PREFIX + 1
+    grams = window_hashes(words, ANCHOR)
+    places = WINDOW - ANCHOR + 1
     value, at, width = grams, np.arange(len(grams)), 1
 
     def wider(by: int) -> None:
@@ -116,26 +125,126 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"anchor bigint, content bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag bigint, first int, n int")
 
 
-def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """anchor, content, doc_id, tag and first of each single window of wanted (doc_id, tag, spans)."""
+def suffixes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, tag, first, a hash of each prefix of DEPTHS, and the words after the first of them, of the windows of wanted (id, of, spans)."""
     rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]) & (docs["tag"] == wanted["of"])).select("doc_id", "tag", "text", "spans")
+    names = [f"prefix{d}" for d in DEPTHS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             words = Words(bytes_of(batch.column("text")))
+            span = Spans(words.hashes)
             spans = batch.column("spans")
             of = np.repeat(np.arange(batch.num_rows), spans.value_lengths().to_numpy(zero_copy_only=False))
             flat = spans.flatten()
-            anchor, first, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "first", "n"))
-            row = np.repeat(of, size)
-            start = np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            begin = words.starts[row] + start
-            content = Spans(words.hashes)(begin, begin + WINDOW).view(np.int64)
-            at = pa.array(row, pa.int64())
-            columns = [pa.array(np.repeat(anchor, size)), pa.array(content), batch.column("doc_id").take(at), batch.column("tag").take(at), pa.array(start, pa.int32()), pa.array(np.ones(len(start), dtype=np.int32))]
-            yield pa.record_batch(columns, ["anchor", "content", "doc_id", "tag", "first", "n"])
+            first, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("first", "n"))
+            row, start = np.repeat(of, size), np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            for at in range(0, len(row), 20_000):
+                part = slice(at, at + 20_000)
+                begin = words.starts[row[part]] + start[part]
+                prefixes = [pa.array(span(begin, begin + d).view(np.int64)) for d in DEPTHS]
+                rest = words.hashes[begin[:, None] + np.arange(DEPTHS[0], WINDOW)].astype("<u4")  # the low half of a hash; the last prefix has all of it
+                places = pa.array(row[part], pa.int64())
+                columns = [batch.column("doc_id").take(places), batch.column("tag").take(places), pa.array(start[part], pa.int32()), pa.array([x.tobytes() for x in rest], pa.binary()), *prefixes]
+                yield pa.record_batch(columns, ["doc_id", "tag", "first", "rest", *names])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag bigint, first int, rest binary, "
+    return rows.mapInArrow(run, schema + ", ".join(f"{n} bigint" for n in names))
+
+
+def dealt(rows: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame | None]:
+    """rows with the prefix that each is dealt by and how deep it is; of prefixes of WINDOW words those that too many share, or None."""
+    out = rows.withColumn("prefix", F.col(f"prefix{DEPTHS[0]}")).withColumn("depth", F.lit(DEPTHS[0]))
+    for d in DEPTHS:
+        full = work.write(out.where(F.col("depth") == d).groupBy("prefix").count().where(F.col("count") > GROUP).select(F.col("prefix").alias("full")), f"full{d}")
+        if full.isEmpty():
+            return out, None
+        if d == WINDOW:
+            return out, full
+        deeper = DEPTHS[DEPTHS.index(d) + 1]
+        out = out.join(broadcast_if_small(full), (F.col("depth") == d) & (F.col("prefix") == F.col("full")), "left")
+        out = out.withColumn("prefix", F.when(F.col("full").isNull(), F.col("prefix")).otherwise(F.col(f"prefix{deeper}")))
+        out = out.withColumn("depth", F.when(F.col("full").isNull(), F.col("depth")).otherwise(F.lit(deeper))).drop("full")
+
+
+def deep_leaves(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves below internal nodes of full depth, and the node of each, of suffixes with the group each is in.
+
+    The tree is built from the top: nodes are split by the next word, and nodes of
+    one leaf go, so little is left to sort after a few words.
+    """
+    leaf = np.arange(len(group))
+    node = group - group.min(initial=0)
+    for d in range(words.shape[1] + 1):
+        several = np.bincount(node)[node] > 1
+        leaf, node = leaf[several], node[several]
+        if d == words.shape[1] or not len(leaf):
+            break
+        word = words[leaf, d]
+        order = np.lexsort((word, node))
+        leaf, node, word = leaf[order], node[order], word[order]
+        node = np.cumsum(np.append(True, (np.diff(node) != 0) | (np.diff(word.astype(np.int64)) != 0))[: len(leaf)]) - 1
+    return leaf, node
+
+
+def tree_repeats(rows: DataFrame) -> DataFrame:
+    """doc_id, tag, first and n (1) of the suffixes below deep internal nodes but for each node's first.
+
+    Groups come one after another; a task holds one, or several small ones.
+    """
+    names = ["doc_id", "tag", "first", "rest", "prefix", "depth", f"prefix{WINDOW}"]
 
-    return rows.mapInArrow(run, f"anchor bigint, content bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag bigint, first int, n int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            count += batch.num_rows
+            if count < AT_ONCE:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            prefix = table.column("prefix").to_numpy()
+            cut = int(np.searchsorted(prefix, prefix[-1]))  # the last group may go on
+            if cut:
+                yield later(table.slice(0, cut))
+            held = [table.slice(cut)]
+            count = AT_ONCE // 2 if cut == 0 else table.num_rows - cut
+        if held:
+            yield later(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    def later(table: pa.RecordBatch) -> pa.RecordBatch:
+        get = lambda c: table.column(c).to_numpy()
+        words = np.frombuffer(b"".join(table.column("rest").to_pylist()), dtype="<u4").reshape(table.num_rows, -1)
+        group = np.cumsum((np.diff(get("prefix"), prepend=0) != 0) | (np.diff(get("depth"), prepend=0) != 0))
+        # The hash of all words is one more word, so that nodes don't rest on half hashes.
+        whole = get(f"prefix{WINDOW}").view(np.uint64)
+        words = np.concatenate([words, whole[:, None].astype("<u4"), (whole >> np.uint64(32))[:, None].astype("<u4")], axis=1)
+        leaf, node = deep_leaves(group, words)
+        place = _ordered(table.column("doc_id"), get("tag"), get("first"))[leaf]
+        if len(leaf):
+            least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, node, place)
+            leaf = leaf[place > least[node]]
+        out = table.take(pa.array(leaf, pa.int64()))
+        return pa.record_batch([*(out.column(c) for c in ("doc_id", "tag", "first")), pa.array(np.ones(len(leaf), dtype=np.int32))], ["doc_id", "tag", "first", "n"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select(names).repartition("prefix").sortWithinPartitions("prefix", "depth").mapInArrow(run, f"doc_id {kind}, tag bigint, first int, n int")
+
+
+def _ordered(ids: pa.Array, tag: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each suffix's number in page order: by id, null last, then by start. Rows that share id and start share a number."""
+    order = pc.sort_indices(pa.table([ids, pa.array(first)], ["id", "first"]), sort_keys=[("id", "ascending"), ("first", "ascending")], null_placement="at_end")
+    id_order, first_order = ids.take(order), first[order.to_numpy()]
+    if not len(first_order):
+        return np.zeros(0, dtype=np.int64)
+    known = pc.is_valid(id_order).to_numpy(zero_copy_only=False)
+    same = pc.fill_null(pc.equal(id_order[1:], id_order[:-1]), False).to_numpy(zero_copy_only=False) | (~known[1:] & ~known[:-1])
+    number = np.cumsum(np.append(True, ~(same & (np.diff(first_order) == 0)))) - 1
+    out = np.empty(len(number), dtype=np.int64)
+    out[order.to_numpy()] = number
+    return out
 
 
 #: Documents are ordered by id, null after all others, then windows by their start.
@@ -170,16 +279,20 @@ def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
     whole = work.write(_later(shared, firsts.where("count > 1")), "whole")
     work.drop("shared")
     mixed = work.write(firsts.groupBy("anchor").count().where("count > 1").select("anchor"), "mixed")
-    border = firsts.join(mixed, "anchor").select("anchor", "place.doc_id", "place.tag", "place.first", "place.n")
-    border = work.write(border, "border")
+    leaves = work.write(firsts.join(mixed, "anchor").select("place.doc_id", "place.tag", "place.first", "place.n"), "leaves")
     work.drop("firsts")
-    wanted = _by_document(border, "anchor", "first", "n")
-    # Border blocks are broadcast while they are few; else they and the texts shuffle by document.
-    few = border.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    single = work.write(windows(docs, F.broadcast(wanted) if few else wanted), "single")
-    work.drop("border")
-    apart = work.write(_later(single, work.write(_firsts(single).where("count > 1"), "single_firsts")), "apart")
-    work.drop("single")
+    wanted = _by_document(leaves, "first", "n")
+    # Leaves are broadcast while they are few; else they and the texts shuffle by document.
+    few = leaves.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows, full = dealt(suffixes(docs, F.broadcast(wanted) if few else wanted), work)
+    if full is not None:
+        alone = (F.col("depth") == WINDOW) & (F.col("prefix") == F.col("full"))
+        nodes = work.write(rows.join(broadcast_if_small(full), alone, "left_semi").select(F.lit(0).alias("anchor"), F.col("prefix").alias("content"), "doc_id", "tag", "first", F.lit(1).alias("n")), "nodes")
+        of_nodes = work.write(_later(nodes, work.write(_firsts(nodes), "node_firsts")), "of_nodes")
+        whole = whole.unionByName(of_nodes)
+        rows = rows.join(broadcast_if_small(full), alone, "left_anti")
+    apart = work.write(tree_repeats(rows), "apart")
+    work.drop("leaves")
     return whole.unionByName(apart)
 
 
@@ -204,8 +317,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     work = Workspace(docs.sparkSession, "substring")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     docs = docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("rest"))
-    found = _by_document(repeats(_keyed(docs.select("doc_id", "text")), work), "first", "n")
     rows = _keyed(docs)
+    found = _by_document(repeats(rows.select("doc_id", "text", "tag"), work), "first", "n")
     joined = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (rows["tag"] == found["of"]), "left").select("doc_id", "text", "rest", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

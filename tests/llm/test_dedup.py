@@ -145,6 +145,56 @@ def test_substrings_by_the_shuffled_path(spark, monkeypatch):
     assert got == brute_kept(docs)
 
 
+@pytest.mark.parametrize("group", [1, 7, 60])
+def test_suffix_groups_stay_within_their_bound(spark, monkeypatch, group):
+    """One passage in a third of all documents, one endless repeat: no group is larger, and results are the same."""
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    rng = random.Random(9)
+    fresh = lambda k: [f"w{rng.randrange(500)}" for _ in range(k)]
+    passage = fresh(31)
+    docs = {i: " ".join(fresh(25) + (passage if i % 3 == 0 else []) + fresh(rng.randrange(30))) for i in range(90)} | {500: "again and " * 400, 501: "x again and " * 30}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    sizes, real = [], substring_dedup.tree_repeats
+
+    def counted(rows):
+        sizes.extend(r["count"] for r in rows.groupBy("prefix", "depth").count().collect())
+        return real(rows)
+
+    monkeypatch.setattr(substring_dedup, "tree_repeats", counted)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(substring_dedup.dedup_substrings(rows)).collect()}
+    assert got == brute_kept(docs) and max(sizes, default=0) <= group
+
+
+def test_deep_leaves_are_those_of_equal_suffixes():
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 2, (300, 6)).astype("<u4")
+    group = np.sort(rng.integers(0, 4, 300))
+    leaf, node = substring_dedup.deep_leaves(group, words)
+    keys = [(group[i], *words[i]) for i in range(300)]
+    assert sorted(leaf) == [i for i in range(300) if keys.count(keys[i]) > 1]
+    assert len({(n, keys[i]) for i, n in zip(leaf, node, strict=True)}) == len(set(node)) == len({keys[i] for i in leaf})
+
+
+def test_links_survive_a_sure_pair_that_is_none(spark, monkeypatch):
+    """Every pair that may be a link counts as sure, so wrong pairs lead; full sets refuse them and no link is lost."""
+    monkeypatch.setattr(near_dedup, "one_hub", lambda met: met.selectExpr("class AS a", "hub AS b").limit(0))
+    docs = corpus(7)
+    rows, real = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), near_dedup.across
+    calls = []
+
+    def leading(named, classes, work, by_lead=True):
+        calls.append(by_lead)
+        found = real(named, classes, work, by_lead)
+        if by_lead:  # of each component one pair, and that a wrong one
+            lone = classes.selectExpr("min(class) AS a", "max(class) AS b")
+            return lone.selectExpr("a", "b", "true AS lead")
+        return found
+
+    monkeypatch.setattr(near_dedup, "across", leading)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(rows).collect()}
+    assert calls == [True, False] and got == brute_components(docs)
+
+
 def test_op7_on_documents(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op7_substring_dedup(spark, sf_dir).collect()}
