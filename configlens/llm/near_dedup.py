@@ -12,6 +12,8 @@ shares most buckets with, which joins most of a group of copies into one
 component. Then only pairs across the components of a bucket are left; blocks of
 a bucket compare short sketches of these, hand on one pair for components that
 surely belong together and every pair that may be a link, and full sets confirm.
+Should full sets not confirm one of the sure pairs, which no one has seen yet, the
+buckets that still hold several components hand on all pairs that may be links.
 """
 
 from __future__ import annotations
@@ -93,13 +95,11 @@ def densified(rows: np.ndarray) -> np.ndarray:
         found = lent > 0
         out[row[found], at[found]] = lent[found]
         row, at = row[~found], at[~found]
-    if len(row):  # none of the sequence is filled: any one will do, the same for equal registers
-        out[row, at] = filled.max(axis=1)[row]
     return out
 
 
-#: For each register the others that it borrows from, in order.
-_LENDERS = np.random.default_rng(6).integers(0, REGISTERS, (256, REGISTERS))
+#: For each register all registers in the order in which it borrows from them.
+_LENDERS = np.argsort(np.random.default_rng(6).random((REGISTERS, REGISTERS)), axis=0)
 
 
 def sketches(rows: np.ndarray) -> np.ndarray:
@@ -192,8 +192,11 @@ def one_hub(met: DataFrame) -> DataFrame:
     return best.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
 
 
-def across(named: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
-    """Plausible pairs (a, b) of different components in one bucket, of named (key, class, component).
+def across(named: DataFrame, classes: DataFrame, work: Workspace, by_lead: bool = True) -> DataFrame:
+    """Plausible pairs (a, b, lead) of different components in one bucket, of named (key, class, component).
+
+    With by_lead, a pair that surely links two components leads: other pairs of
+    these two aren't handed on, so they are lost if it turns out to be no link.
 
     Sizes differ by less than a third in a plausible pair, so a bucket is divided
     by size, where each class is in its own and the next division; divisions of
@@ -256,14 +259,15 @@ def across(named: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
                         good[~by_set] = plausible(short[x], short[y], n[x], n[y])
                         sure[~by_set] = plausible(short[x], short[y], n[x], n[y], -1.0)
                     # Of pairs that surely link two components one is enough, and later blocks take these as one.
-                    lead, label = joined(label, p, q, sure)
-                    unsure = good & ~sure & (label[p] != label[q])
-                    met.add(np.concatenate([ids[p[lead]], ids[p[unsure]]]), np.concatenate([ids[q[lead]], ids[q[unsure]]]))
+                    lead, label = joined(label, p, q, sure & by_lead)
+                    unsure = good & (label[p] != label[q])
+                    met.add(ids[p[lead]], ids[q[lead]], True)
+                    met.add(ids[p[unsure]], ids[q[unsure]], False)
                     if met.rows > 1_000_000:
                         yield met.handed_on()
         yield met.handed_on()
 
-    return dealt.mapInArrow(meet, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(meet, "a bigint, b bigint, lead boolean").groupBy("a", "b").agg(F.max("lead").alias("lead"))
 
 
 def joined(label: np.ndarray, p: np.ndarray, q: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,14 +298,14 @@ class Pairs:
     def __init__(self):
         self.rows, self.parts = 0, []
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.parts.append(np.stack([a, b], axis=1))
+    def add(self, a: np.ndarray, b: np.ndarray, lead: bool) -> None:
+        self.parts.append(np.stack([a, b, np.full(len(a), int(lead))], axis=1))
         self.rows += len(a)
 
     def handed_on(self) -> pa.RecordBatch:
-        found = np.unique(np.concatenate([*self.parts, np.zeros((0, 2), dtype=np.int64)]), axis=0)
+        found = np.unique(np.concatenate([*self.parts, np.zeros((0, 3), dtype=np.int64)]), axis=0)
         self.rows, self.parts = 0, []
-        return pa.record_batch([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+        return pa.record_batch([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.array(found[:, 2] == 1)], ["a", "b", "lead"])
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -326,9 +330,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that their registers leave possible."""
+    """The pairs (a, b) of classes that their sizes, and then their registers, leave possible."""
     of = classes.select("class", "n_shingles", "registers")
-    side = lambda x: of.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"))
+    size = lambda x: of.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n_{x}"))
+    side = lambda x: of.select(F.col("class").alias(x), F.col("registers").alias(f"registers_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,6 +342,8 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 n, m = (batch.column(f"n_{x}").to_numpy().astype(float) for x in "ab")
                 yield batch.select(["a", "b"]).filter(pa.array(plausible(a, b, n, m)))
 
+    near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    pairs = pairs.select("a", "b").join(size("a"), "a").join(size("b"), "b").where(near)
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -375,36 +382,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key", "low")
     members = work.write(keys.join(work.write(shared, "shared"), "key"), "members0")
 
-    edges = labels = None
-    for k in range(HUB_ROUNDS + 1):
-        if labels is None:
-            met = one_hub(members.select("class", F.col("low").alias("hub")).where("class <> hub"))
-        else:
-            # Only buckets that still hold several components, and only pairs across them.
-            named = members.join(labels, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-            by = F.xxhash64("class", F.lit(k))
-            mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max_by(F.struct("class", "component"), by).alias("hub")).where("x < y")
-            mixed = work.write(mixed.select("key", "hub"), f"mixed{k}")
-            named = work.write(named.join(mixed, "key"), f"members{k}")
-            work.drop(f"members{k - 1}")
-            members = named.select("key", "class")
-            if k < HUB_ROUNDS:
-                met = one_hub(named.where("component <> hub.component").select("class", F.col("hub.class").alias("hub")))
-            else:
-                met = across(named.select("key", "class", "component"), classes, work)
-        pairs = work.write(likely(work.write(met, f"met{k}"), classes), f"pairs{k}")
+    def linked(met: DataFrame, name: str) -> DataFrame:
+        """The links among the pairs met."""
+        pairs = work.write(likely(met, classes), f"pairs{name}")
         asked = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        wanted = work.write(classes.select("class", "doc_id").join(asked, "class"), f"wanted{k}")
-        found = work.write(confirmed(pairs, full_sets(docs, broadcast_if_small(wanted))), f"edges{k}")
-        edges = found if edges is None else edges.union(found)
-        if k == 0 or not found.isEmpty():
+        wanted = work.write(classes.select("class", "doc_id").join(asked, "class"), f"wanted{name}")
+        found = work.write(confirmed(pairs, full_sets(docs, broadcast_if_small(wanted))), f"edges{name}")
+        work.drop(f"pairs{name}")
+        work.drop(f"wanted{name}")
+        return found
+
+    def still_mixed(members: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+        """key, class, component and a hub of members of buckets that hold several components."""
+        named = members.join(labels, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
+        by = F.xxhash64("class", F.lit(k))
+        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max_by(F.struct("class", "component"), by).alias("hub")).where("x < y")
+        return work.write(named.join(work.write(mixed.select("key", "hub"), f"mixed{k}"), "key"), f"members{k}")
+
+    edges = linked(work.write(one_hub(members.select("class", F.col("low").alias("hub")).where("class <> hub")), "met0"), "0")
+    labels = components(edges, work, "labels0")
+    for k in range(1, HUB_ROUNDS + 3):
+        # Only buckets that still hold several components, and only pairs across them.
+        named = still_mixed(members, labels, k)
+        work.drop(f"members{k - 1}")
+        members = named.select("key", "class")
+        if k < HUB_ROUNDS:
+            met = one_hub(named.where("component <> hub.component").select("class", F.col("hub.class").alias("hub")))
+        else:
+            met = across(named.select("key", "class", "component"), classes, work, by_lead=k == HUB_ROUNDS)
+        met = work.write(met, f"met{k}")
+        found = linked(met, str(k))
+        if not found.isEmpty():
+            edges = edges.union(found)
             labels = components(edges, work, f"labels{k}")
-        work.drop(f"pairs{k}")
-        work.drop(f"met{k}")
-        work.drop(f"wanted{k}")
-    work.drop(f"members{HUB_ROUNDS}")
-    work.drop("divided")
-    work.drop("mixed")
+        if k == HUB_ROUNDS and met.where("lead").join(found, ["a", "b"], "left_anti").isEmpty() or k > HUB_ROUNDS:
+            break
+    for name in ("divided", "mixed", f"members{k}", *(f"met{i}" for i in range(k + 1))):
+        work.drop(name)
 
     named = classes.select("class", "doc_id").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = work.write(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
