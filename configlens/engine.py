@@ -7,13 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import budget as budgets
 from .operators import classify, diffs, hosts, hunt, secrets
 from .sources import decode, files
 
 
-def scan(spark: SparkSession, root: str, **options: object) -> DataFrame:
-    """The files below a root, classified, with catalog severities; lazy."""
-    return classify.with_catalog(classify.classify(decode.with_text(files.scan(spark, root, **options))))
+def _cut(rows: DataFrame, limit: int | None, sample_size: int, order: str = "file_order", by: Sequence[str] = ()) -> DataFrame:
+    """Files within a budget of sampled bytes, their samples cut to what it leaves; all of them without one."""
+    if limit is None:
+        return rows
+    kept = budgets.within_budget(rows.withColumn("_length", F.coalesce("length", F.lit(0))), order, "_length", sample_size, limit, by).drop("_length")
+    return kept.withColumn("sample", F.substring("sample", 1, F.col("sample_bytes").cast("int")))
+
+
+def scan(spark: SparkSession, root: str, budget: int | None = budgets.DEFAULT_BUDGET, sample_size: int = budgets.DEFAULT_SAMPLE, **options: object) -> DataFrame:
+    """The files below a root, classified, with catalog severities; lazy.
+
+    In path order, files beyond a budget of sampled bytes are never returned;
+    budget=None reads all.
+    """
+    rows = _cut(files.scan(spark, root, sample_size=sample_size, **options), budget, sample_size)
+    return classify.with_catalog(classify.classify(decode.with_text(rows)))
 
 
 def hunt_tree(spark: SparkSession, root: str, rules: Sequence[hunt.Rule] = hunt.DEFAULT_RULES, exclude: Sequence[str] = ()) -> DataFrame:
@@ -22,25 +36,31 @@ def hunt_tree(spark: SparkSession, root: str, rules: Sequence[hunt.Rule] = hunt.
     return hunt.hunt(texts.select(F.col("relative_path").alias("path"), "text"), rules, exclude)
 
 
-def compare_hosts(spark: SparkSession, roots: dict[str, list[str]], baseline: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Catalog, each host's status, and the compared records of several hosts' trees.
+def records(texts: DataFrame) -> DataFrame:
+    """Configurations of hosts' decoded files (host_id, name, extension, relative_path, sample, text, scan_order): config_id and canonical.
 
-    The first host is the baseline unless another is named. XML is compared in
-    canonical form, everything else as text.
+    Of several files of one configuration on a host the last one scanned stays.
+    XML is taken in canonical form, everything else as text.
     """
-    texts = decode.with_text(files.scan_hosts(spark, roots))
-    found = classify.classify(texts).where("format IS NOT NULL")
-    metadata = F.struct(*(F.lit(None).cast("string").alias(c) for c in ("config_original_filename", "config_role", "msbuild_kind", "top_level_type")))
-    records = found.withColumn("metadata", metadata).withColumn("config_id", hosts.config_id())
-    records = records.withColumn("scan_order", F.struct("root_order", "path_parts"))
-    records = hosts.last_scanned(records).withColumn("kind", hosts.content_type())
+    found = classify.identity(classify.classify(texts).where("format IS NOT NULL"))
+    rows = hosts.last_scanned(found.withColumn("config_id", hosts.config_id())).withColumn("kind", hosts.content_type())
     xml, text = diffs.canonical(F.col("text"), "xml"), diffs.canonical(F.col("text"))
-    records = records.where("kind = 'xml'").withColumn("canonical", xml).unionByName(records.where("kind <> 'xml'").withColumn("canonical", text))
-    compared = hosts.against_baseline(records.select("host_id", "config_id", "format", "variant", "relative_path", "canonical"), baseline or next(iter(roots)))
+    return rows.where("kind = 'xml'").withColumn("canonical", xml).unionByName(rows.where("kind <> 'xml'").withColumn("canonical", text))
+
+
+def compare_hosts(spark: SparkSession, roots: dict[str, list[str]], baseline: str | None = None, budget: int | None = budgets.HOST_BUDGET, sample_size: int = budgets.DEFAULT_SAMPLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Catalog, each host's status, and the compared records of several hosts' trees.
+
+    The first host is the baseline unless another is named. Each host has a
+    budget of sampled bytes for all of its roots.
+    """
+    listed = files.scan_hosts(spark, roots, sample_size=sample_size).withColumn("scan_order", F.col("root_order").cast("bigint") * (1 << 40) + F.col("file_order"))
+    texts = decode.with_text(_cut(listed, budget, sample_size, "scan_order", ["host_id"]))
+    compared = hosts.against_baseline(records(texts).select("host_id", "config_id", "format", "variant", "relative_path", "canonical"), baseline or next(iter(roots)))
     compared = diffs.line_diff(compared, "baseline_canonical", "canonical")
     known = spark.createDataFrame([(h,) for h in roots], "host_id string")
-    found_hosts = texts.groupBy("host_id").agg(F.lit("ok").alias("availability"))
-    available = known.join(found_hosts, "host_id", "left").withColumn("availability", F.coalesce("availability", F.lit("not_found")))
+    exists = spark.createDataFrame([(h, files.exists(r)) for h, paths in roots.items() for r in paths], "host_id string, exists boolean")
+    available = hosts.availability(listed.select("host_id", "error"), exists)
     return hosts.catalog(compared, known), hosts.server_status(compared, available), compared
 
 

@@ -28,6 +28,11 @@ def line_count(text: Column) -> Column:
     return F.coalesce(F.size(lines(text)), F.lit(0)).cast("bigint")
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def normalise_text(text: Column) -> Column:
     """Text in canonical form: no byte order mark, line feeds only, no white space at line ends."""
     plain = F.regexp_replace(F.regexp_replace(text, "﻿", ""), "\r\n|[\r\x85  ]", "\n")
@@ -112,6 +117,21 @@ def redact(text: Column, tokens: Sequence[str], placeholder: str = "[REDACTED]")
     return text, counts
 
 
+def redact_json(texts: Column, tokens: Sequence[str], placeholder: str = "[REDACTED]") -> Column:
+    """JSON text whose strings, at any depth, are redacted; keys, numbers and other values stay. Text that isn't JSON is redacted as a whole.
+
+    Strings are told from keys by what follows them, so the text is never parsed
+    into a tree of unknown depth.
+    """
+    string = r'"(?:[^"\\]|\\.)*+"(?!\s*:)'
+    # Strings and what stands between them, in turns: the split is before and after each string that is no key.
+    strings = F.regexp_extract_all(texts, F.lit(string), F.lit(0))
+    between = F.split(texts, string, -1)
+    clean = F.transform(strings, lambda x: redact(x, tokens, placeholder)[0])
+    woven = F.flatten(F.transform(F.arrays_zip(between.alias("a"), clean.alias("b")), lambda p: F.array(p["a"], F.coalesce(p["b"], F.lit("")))))
+    return F.when(texts.rlike(r"\A\s*[\[{\"]"), F.array_join(woven, "")).otherwise(redact(texts, tokens, placeholder)[0])
+
+
 def json_text(value: Column) -> Column:
     """value as JSON text: null, plain integers and booleans, or a string in ASCII with escapes, as hashes of it expect."""
     quoted = F.to_json(F.struct(value.cast("string").alias("v")))

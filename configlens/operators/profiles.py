@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
 from ..functions.text import glob_anywhere, normalise_path, normalise_tags
 
 #: profiles: name, tags and configs, an array of these.
@@ -32,34 +33,52 @@ def configs(profiles: DataFrame) -> DataFrame:
     return profiles.select(F.col("name").alias("profile"), F.col("tags").alias("profile_tags"), F.posexplode("configs").alias("position", "config")).select("profile", "profile_tags", "position", "config.*")
 
 
-def matching(files: DataFrame, profiles: DataFrame, given: Column, globs: list[str], path: str = "relative_path") -> DataFrame:
+def matching(files: DataFrame, profiles: DataFrame, given: Column, globs: list[str] | None = None, path: str = "relative_path") -> DataFrame:
     """Files with each configuration that applies to them: profile, config_id and position beside files' columns.
 
     A configuration applies if its tags and its application, version and branch
     are among the given tags and its path equals the file's, or its glob fits it,
     or it has neither. Equal paths are a hash join; each of `globs`, the few
-    distinct globs of the store, filters files by a literal pattern and joins on
-    the glob; rules without path join all. Files without path only get those.
+    distinct globs of the store (collected from it if not given), filters files by
+    a literal pattern and joins on the glob; rules without path join all. Files
+    without path only get those.
     """
     active = configs(applicable_profiles(profiles, given)).where(_within(F.col("tags"), given))
     for prefix in ("application", "version", "branch"):
         active = active.where(F.col(prefix).isNull() | F.array_contains(given, F.concat(F.lit(f"{prefix}:"), F.col(prefix))))
     active = active.select("profile", F.col("id").alias("config_id"), "position", F.col("path").alias("rule_path"), F.col("path_glob").alias("rule_glob"), "expected_format", "expected_variant", "ignore_review_flags")
+    if globs is None:
+        globs = [r.rule_glob for r in active.where("rule_glob IS NOT NULL").select("rule_glob").distinct().orderBy("rule_glob").toLocalIterator()]
     keyed = files.withColumn("_path", normalise_path(F.col(path)))
-    by_path = keyed.join(F.broadcast(active.where("rule_path IS NOT NULL")), F.col("_path") == F.col("rule_path"))
-    everywhere = keyed.crossJoin(F.broadcast(active.where("rule_path IS NULL AND rule_glob IS NULL")))
-    fits = F.filter(F.array(*(F.when(F.col("_path").rlike(glob_anywhere(g)), F.lit(g)) for g in globs)).cast("array<string>"), lambda x: x.isNotNull())
-    by_glob = keyed.withColumn("_glob", F.explode(fits)).join(F.broadcast(active.where("rule_glob IS NOT NULL")), F.col("_glob") == F.col("rule_glob"))
-    by_glob = by_glob.where("rule_path IS NULL OR rule_path <> _path").drop("_glob")
-    return reduce(DataFrame.unionByName, [by_path, by_glob, everywhere]).drop("_path", "rule_path", "rule_glob")
+    by_path = keyed.join(small(active.where("rule_path IS NOT NULL")), F.col("_path") == F.col("rule_path"))
+    everywhere = keyed.crossJoin(small(active.where("rule_path IS NULL AND rule_glob IS NULL")))  # as many rows as the result
+    parts = [by_path, everywhere]
+    if globs:
+        fits = F.filter(F.array(*(F.when(F.col("_path").rlike(glob_anywhere(g)), F.lit(g)) for g in globs)).cast("array<string>"), lambda x: x.isNotNull())
+        by_glob = keyed.withColumn("_glob", F.explode(fits)).join(small(active.where("rule_glob IS NOT NULL")), F.col("_glob") == F.col("rule_glob"))
+        parts.append(by_glob.where("rule_path IS NULL OR rule_path <> _path").drop("_glob"))
+    return reduce(DataFrame.unionByName, parts).drop("_path", "rule_path", "rule_glob")
 
 
-def bridge(hits: DataFrame, profiles: DataFrame, given: Column, globs: list[str]) -> DataFrame:
+def bridge(hits: DataFrame, profiles: DataFrame, given: Column, globs: list[str] | None = None) -> DataFrame:
     """Hits with the profiles that apply to their path, nested; hits without any keep an empty array."""
-    keyed = hits.withColumn("_hit", F.monotonically_increasing_id())
-    found = matching(keyed, profiles, given, globs, "path").groupBy("_hit").agg(F.array_sort(F.collect_list(F.struct("profile", "position", "config_id"))).alias("profiles"))
+    paths = hits.select("path").distinct()
+    found = matching(paths, profiles, given, globs, "path").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("profile", "position", "config_id"))).alias("profiles"))
     empty = F.array().cast("array<struct<profile:string,position:int,config_id:string>>")
-    return keyed.join(found, "_hit", "left").withColumn("profiles", F.coalesce("profiles", empty)).drop("_hit")
+    return hits.join(found, "path", "left").withColumn("profiles", F.coalesce("profiles", empty))
+
+
+def suppress_review(detections: DataFrame, matched: DataFrame) -> DataFrame:
+    """detections (relative_path, needs_review) with review_ignored where a configuration that applies says to ignore review; needs_review is false there."""
+    ignoring = matched.where("ignore_review_flags").select("relative_path", F.lit(True).alias("_ignore")).distinct()
+    rows = detections.join(ignoring, "relative_path", "left")
+    ignored = F.coalesce(F.col("_ignore") & F.col("needs_review"), F.lit(False))
+    return rows.withColumn("review_ignored", ignored).withColumn("needs_review", F.col("needs_review") & ~F.col("review_ignored")).drop("_ignore")
+
+
+def find_config(profiles: DataFrame, config_id: str) -> DataFrame:
+    """The configuration of an id with its profile, or nothing."""
+    return configs(profiles).where(F.col("id") == config_id)
 
 
 def store_summary(profiles: DataFrame) -> DataFrame:

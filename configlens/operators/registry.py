@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
 from .compare import first_wins
 
 UNINSTALL = r"SOFTWARE\\(WOW6432Node\\)?Microsoft\\Windows\\CurrentVersion\\Uninstall\\[^\\]+"
@@ -28,7 +29,7 @@ def installed_apps(values: DataFrame) -> DataFrame:
 def suggest_roots(tokens: DataFrame, apps: DataFrame) -> DataFrame:
     """token, hive and path of likely roots: software keys of applications whose name or publisher has the token."""
     has = lambda c: F.contains(F.lower(apps[c]), F.lower(tokens["token"]))
-    found = F.broadcast(tokens).join(apps, has("display_name") | has("publisher"))
+    found = small(tokens).join(apps, has("display_name") | has("publisher"))
     under = lambda *parts: F.concat_ws("\\", F.lit("SOFTWARE"), *parts)
     paths = F.array(F.struct(F.lit("HKLM").alias("hive"), under("publisher", "display_name").alias("path")), F.struct(F.lit("HKCU").alias("hive"), under("publisher", "display_name").alias("path")), F.struct(F.lit("HKLM").alias("hive"), under("publisher").alias("path")))
     return found.select("token", F.explode(paths).alias("root")).select("token", "root.*").distinct()

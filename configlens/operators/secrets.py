@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lines
+from ..functions.text import lines, strip
 
 PLACEHOLDER = "[SECRET]"
 
@@ -89,7 +89,7 @@ def scan(files: DataFrame, rules: Sequence[SecretRule] = SAMPLE_RULES, ignore_ru
     used = [r for r in rules if r.name not in set(ignore_rules)]
     rows = files.select("path", F.posexplode(lines(F.col("text"))).alias("at", "line"))
     rows = rows.withColumn("rule", _rule_of(F.col("line"), used, ignore_patterns)).where("rule IS NOT NULL")
-    snippet = F.left(F.trim(_redacted(F.col("line"), F.col("rule"), used)), F.lit(200))
+    snippet = F.left(strip(_redacted(F.col("line"), F.col("rule"), used)), F.lit(200))
     return rows.select("path", (F.col("at") + 1).cast("bigint").alias("line_number"), "rule", snippet.alias("snippet"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import html
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from email.message import EmailMessage
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RETENTION_DAYS = 30
@@ -55,11 +56,85 @@ def teams_payload(message: Mapping[str, str]) -> str:
     return json.dumps({"@type": "MessageCard", "@context": "https://schema.org/extensions", "title": message["title"], "text": message["body"], "sections": [{"facts": facts}]}, ensure_ascii=False)
 
 
-def notify(send: Callable[[str], None], build: Callable[[Mapping[str, str]], str], most: int = 100) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that sends the first `most` messages (title, body and string columns) of each batch."""
+def mail_payload(message: Mapping[str, str], sender: str, to: Sequence[str]) -> str:
+    """The same as a plain mail with headers."""
+    mail = EmailMessage()
+    mail["Subject"], mail["From"], mail["To"] = message["title"], sender, ", ".join(to)
+    details = "".join(f"\n{k}: {v}" for k, v in sorted(message.items()) if k not in ("title", "body"))
+    mail.set_content(f"{message['body']}{details}")
+    return mail.as_string()
+
+
+def notify(send: Callable[[str], None], build: Callable[[Mapping[str, str]], str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that sends every message (title, body and string columns) of each batch, a partition's at a time."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        for row in batch.limit(most).collect():
+        for row in batch.toLocalIterator():
             send(build({k: str(v) for k, v in row.asDict().items()}))
 
     return handle
+
+
+#: Columns of the table that a scan prints, and how wide the last two may get (fixed values).
+TABLE_COLUMNS = ("Path", "Format", "Variant", "Confidence", "Severity", "Severity hint", "Metadata keys")
+TABLE_WIDTHS = {"Severity hint": 72, "Metadata keys": 48}
+NOTHING = "\u2014"
+
+
+def ellipsis(value: Column, width: int) -> Column:
+    """A text of at most so many characters, the last one an ellipsis where it is cut."""
+    return F.when(F.length(value) <= width, value).otherwise(F.concat(F.left(value, F.lit(width - 1)), F.lit("\u2026")))
+
+
+def scan_table(detections: DataFrame) -> DataFrame:
+    """The printed table's cells for each file: a dash where there is nothing, long ones cut."""
+    metadata = F.array_join(F.array_sort(F.map_keys("metadata")), ", ") if "metadata" in detections.columns else F.lit(None).cast("string")
+    hint = F.col("severity_hint") if "severity_hint" in detections.columns else F.lit(None).cast("string")
+    cells = [F.col("relative_path"), F.col("format"), F.col("variant"), F.format_string("%.2f", "confidence"), F.col("catalog_severity"), hint, metadata]
+    cells[3] = F.when(F.col("confidence").isNotNull(), cells[3])
+    filled = [F.coalesce(F.nullif(c, F.lit("")), F.lit(NOTHING)) for c in cells]
+    return detections.select(*((ellipsis(c, TABLE_WIDTHS[n]) if n in TABLE_WIDTHS else c).alias(n) for n, c in zip(TABLE_COLUMNS, filled, strict=True)))
+
+
+def print_table(detections: DataFrame, rows: int = 1000) -> str:
+    """The table as text for people: the first `rows` files by path."""
+    table = scan_table(detections).orderBy("Path").limit(rows).collect()
+    widths = [max([len(c), 4, *(len(r[c]) for r in table)]) for c in TABLE_COLUMNS]
+    line = lambda cells: "  ".join(c.ljust(w) for c, w in zip(cells, widths, strict=True)).rstrip()
+    return "\n".join([line(TABLE_COLUMNS), line(["-" * w for w in widths]), *(line([r[c] for c in TABLE_COLUMNS]) for r in table)])
+
+
+def scan_json(detections: DataFrame) -> DataFrame:
+    """value: one JSON object for each file with path and detected, and for detected ones format, variant, confidence and severity; keys sorted, nulls kept."""
+    detected = F.col("format").isNotNull()
+    keep = {"ignoreNullFields": "false"}
+    full = F.struct("confidence", detected.alias("detected"), "format", F.col("relative_path").alias("path"), F.col("catalog_severity").alias("severity"), "variant")
+    bare = F.struct(detected.alias("detected"), F.col("relative_path").alias("path"))
+    return detections.select(F.when(detected, F.to_json(full, keep)).otherwise(F.to_json(bare, keep)).alias("value"))
+
+
+def patch_name(before: Column, after: Column) -> Column:
+    """The file name of a difference between two paths: their stems, blanks as dashes."""
+    stem = lambda path: F.regexp_replace(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*\z", ""), " ", "-")
+    named = lambda path, other: F.coalesce(F.nullif(stem(path), F.lit("")), F.lit(other))
+    return F.concat(named(before, "baseline"), F.lit("--"), named(after, "comparison"), F.lit(".patch"))
+
+
+def write_patches(diffs: DataFrame, folder: str) -> None:
+    """Differences (before_path, after_path, diff) as text, in a folder for each patch name."""
+    named = diffs.select(patch_name(F.col("before_path"), F.col("after_path")).alias("patch"), F.col("diff").alias("value"))
+    named.write.mode("overwrite").partitionBy("patch").text(folder)
+
+
+def free_names(wanted: DataFrame, taken: DataFrame, key: str = "name") -> DataFrame:
+    """wanted (name, rank) with free_name: name, or name-1, name-2, ... as often as it is taken or wanted before."""
+    used = taken.select(F.regexp_replace(key, r"-\d+\z", "").alias(key)).groupBy(key).agg(F.count("*").alias("_used"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("rank")) - 1
+    rows = wanted.join(used, key, "left").withColumn("_at", F.coalesce("_used", F.lit(0)) + number)
+    return rows.withColumn("free_name", F.when(F.col("_at") == 0, F.col(key)).otherwise(F.concat_ws("-", F.col(key), F.col("_at").cast("string")))).drop("_used", "_at")
+
+
+def write_diff_cache(compared: DataFrame, path: str) -> None:
+    """Comparisons (host_id, config_id, signature and more) as the cache that changed_only() and cached() read, with the name of each entry."""
+    entry = F.sha1(F.concat_ws(":", "host_id", "config_id").cast("binary"))
+    compared.withColumn("entry", entry).write.mode("overwrite").parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def evaluate(scenarios: DataFrame, max_failure_rate: float, min_runs: int, stale_before: Column | None = None) -> DataFrame:
     """scenarios (name, total_runs, passes, failures, last_status, last_updated) with failure_rate, issues and status."""
@@ -27,7 +29,7 @@ def issue_summary(evaluated: DataFrame) -> DataFrame:
 
 def missing_scenarios(required: DataFrame, observed: DataFrame) -> DataFrame:
     """Required names that weren't observed, whatever the case and blanks around them."""
-    key = lambda df: df.withColumn("_key", F.lower(F.trim("name")))
+    key = lambda df: df.withColumn("_key", F.lower(strip(F.col("name"))))
     return key(required).join(key(observed).select("_key"), "_key", "left_anti").drop("_key")
 
 
@@ -36,8 +38,8 @@ def transcript_sections(transcripts: DataFrame) -> DataFrame:
     rows = transcripts.select("path", F.posexplode(F.split("text", "\r?\n")).alias("at", "line"))
     order = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     is_section = F.col("line").rlike(r"^##\s+\S")
-    rows = rows.withColumn("section", F.last(F.when(is_section, F.trim(F.regexp_replace("line", r"^##\s+", ""))), ignorenulls=True).over(order))
-    rows = rows.withColumn("title", F.last(F.when(F.col("line").rlike(r"^#\s+\S"), F.trim(F.regexp_replace("line", r"^#\s+", ""))), ignorenulls=True).over(order))
+    rows = rows.withColumn("section", F.last(F.when(is_section, strip(F.regexp_replace("line", r"^##\s+", ""))), ignorenulls=True).over(order))
+    rows = rows.withColumn("title", F.last(F.when(F.col("line").rlike(r"^#\s+\S"), strip(F.regexp_replace("line", r"^#\s+", ""))), ignorenulls=True).over(order))
     body = rows.where(F.col("section").isNotNull() & ~is_section)
     return body.groupBy("path", "title", "section").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])).alias("body"))
 

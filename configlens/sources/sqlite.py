@@ -27,12 +27,22 @@ def tables(path: str) -> list[str]:
         return [r[0] for r in c.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite\\_%' ESCAPE '\\' ORDER BY name")]
 
 
+def table_count(path: str) -> int | None:
+    """How many tables a file has, its own ones too; None if it is no database."""
+    try:
+        with _connect(path) as c:
+            return c.execute("SELECT count(*) FROM sqlite_master WHERE type = 'table'").fetchone()[0]
+    except sqlite3.Error:
+        return None
+
+
 @dataclass
 class RowRange(InputPartition):
-    """Row numbers low <= rowid < high."""
+    """Row numbers low <= rowid < high (None: no bound); without row numbers the whole table."""
 
-    low: int
-    high: int
+    low: int | None = None
+    high: int | None = None
+    numbered: bool = True
 
 
 class SqliteReader(DataSourceReader):
@@ -41,23 +51,38 @@ class SqliteReader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: StructType):
         self.path, self.table = options["path"], options["table"]
         self.rows = int(options.get("rows_per_task", 100_000))
+        self.limit = int(options["limit"]) if "limit" in options else None
         self.schema = schema
 
     def partitions(self) -> list[RowRange]:
+        """Ranges of as many rows each, however sparse their numbers are; a view or a table without row numbers is one range."""
+        every = f"SELECT rowid AS id, row_number() OVER (ORDER BY rowid) AS n FROM {_quoted(self.table)}"
         with _connect(self.path) as c:
-            low, high = c.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {_quoted(self.table)}").fetchone()
-        return [RowRange(a, min(a + self.rows, high + 1)) for a in range(low, high + 1, self.rows)] or [RowRange(0, 0)]
+            try:
+                starts = [r[0] for r in c.execute(f"SELECT id FROM ({every}) WHERE (n - 1) % ? = 0 ORDER BY n", (self.rows,))]
+            except sqlite3.OperationalError:
+                return [RowRange(numbered=False)]
+        if self.limit is not None or not all(isinstance(x, int) for x in starts):
+            return [RowRange(numbered=False)]
+        return [RowRange(a, b) for a, b in zip(starts, [*starts[1:], None], strict=True)] or [RowRange(0, 0)]
 
     def read(self, partition: RowRange) -> Iterator[tuple]:
         casts = [{"long": int, "double": float, "string": lambda v: v if isinstance(v, str) else str(v), "binary": lambda v: v if isinstance(v, bytes) else str(v).encode()}[f.dataType.typeName()] for f in self.schema.fields]
         columns = ", ".join(_quoted(f.name) for f in self.schema.fields)
+        query, bounds = f"SELECT {columns} FROM {_quoted(self.table)}", []
+        if partition.numbered:
+            query, bounds = f"{query} WHERE rowid >= ?", [partition.low]
+            if partition.high is not None:
+                query, bounds = f"{query} AND rowid < ?", [partition.low, partition.high]
+        elif self.limit is not None:
+            query, bounds = f"{query} LIMIT ?", [self.limit]
         with _connect(self.path) as c:
-            for row in c.execute(f"SELECT {columns} FROM {_quoted(self.table)} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high)):
+            for row in c.execute(query, bounds):
                 yield tuple(None if v is None else cast(v) for cast, v in zip(casts, row, strict=True))
 
 
 class SqliteTable(DataSource):
-    """Options: path, table, rows_per_task."""
+    """Options: path, table, rows_per_task, limit (rows read at most)."""
 
     @classmethod
     def name(cls) -> str:
@@ -72,7 +97,7 @@ class SqliteTable(DataSource):
         return SqliteReader(self.options, schema)
 
 
-def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table of a file that all executors can open."""
+def read_table(spark: SparkSession, path: str, table: str, **options: object) -> DataFrame:
+    """A table or view of a file that all executors can open."""
     spark.dataSource.register(SqliteTable)
-    return spark.read.format("sqlitetable").options(path=path, table=table).load()
+    return spark.read.format("sqlitetable").options(path=path, table=table, **{k: str(v) for k, v in options.items()}).load()

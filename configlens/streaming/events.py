@@ -24,11 +24,11 @@ def throttle(progress: DataFrame, gap_ms: int = THROTTLE_MS) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
-        for frame in frames:
-            out, last = _emitted(frame, last, gap_ms)
-            yield out
+        together = pd.concat(list(frames))  # a micro-batch of one host, which its trigger bounds
+        out, last = _emitted(together, last, gap_ms)
         if last:
             state.update(last)
+        yield out
 
     schema = "host_id string, status string, message string, at_ms bigint"
     rows = progress.select("host_id", "status", "message", "at_ms")

