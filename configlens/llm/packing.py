@@ -11,7 +11,6 @@ the pieces of its length.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,26 +22,24 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import Workspace, slices, texts_of
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END_ID = 2048, 0
-#: The same vocabulary as ranks, and the one added token of the tokenizer file (fixed values).
-RANKS_FILE, SPECIAL = "byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256}
-
 _LOADED: dict[str, tiktoken.Encoding] = {}
 
 
-def tokenizer(ranks_path: str) -> tiktoken.Encoding:
-    """The vocabulary of byte_bpe_50k.json as ranks, read once in each Python worker; its ids are those of that file."""
-    if ranks_path not in _LOADED:
-        with open(ranks_path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        _LOADED[ranks_path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-    return _LOADED[ranks_path]
+def tokenizer(path: str) -> tiktoken.Encoding:
+    """The encoder of a tokenizer file whose ids are in order of its merges, read once in each Python worker."""
+    if path not in _LOADED:
+        vocabulary = bpe.load(path)
+        ranks = {piece: i for i, piece in enumerate(vocabulary.pieces) if i not in vocabulary.added.values()}
+        _LOADED[path] = tiktoken.Encoding(path, pat_str=bpe.PRETOKEN, mergeable_ranks=ranks, special_tokens=vocabulary.added)
+    return _LOADED[path]
 
 
-def pieces_of(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
+def pieces_of(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each document's pieces.
 
     A document of more than `capacity` tokens (its ids, then END_ID) is cut into
@@ -51,7 +48,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(ranks_path or public_tokenizers.path(RANKS_FILE)).encode
+        encode = tokenizer(path or public_tokenizers.path(bpe.DEFAULT_FILE)).encode
         for batch in slices(batches, "text", 2 << 20):
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(texts_of(batch.column("text"))):
@@ -71,38 +68,46 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def non_negative_least_squares(columns: list[tuple[int, ...]], target: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Repeat counts x >= 0 of patterns (tuples of lengths) that bring the sum of their lengths' counts nearest to target.
+def non_negative_least_squares(columns: list[tuple[int, ...]], target: np.ndarray, weight: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Repeat counts x >= 0 of patterns (tuples of lengths) under which the weighted squares of what is missing of target, by length, are least.
 
     Accelerated projected gradient steps; the pattern matrix is kept as index lists.
     """
     index = np.array([i for c in columns for i in c], dtype=np.int64)
     owner = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
     size = len(target)
-    apply = lambda x: np.bincount(index, weights=x[owner], minlength=size)
-    back = lambda r: np.bincount(owner, weights=r[index], minlength=len(columns))
+    apply = lambda x: weight * np.bincount(index, weights=x[owner], minlength=size)
+    back = lambda r: np.bincount(owner, weights=(weight * r)[index], minlength=len(columns))
+    goal = weight * target
     probe = np.ones(len(columns))
-    for _ in range(30):  # the largest eigenvalue bounds the step
+    for _ in range(20):  # the largest eigenvalue bounds the step
         probe = back(apply(probe))
         probe /= np.linalg.norm(probe) or 1.0
     step = 1.0 / max(1e-9, 1.05 * float(probe @ back(apply(probe))))
     x = y = np.zeros(len(columns))
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0.0, y - step * back(apply(y) - target))
+        new = np.maximum(0.0, y - step * back(apply(y) - goal))
         t, old_t = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         y = new + (old_t - 1) / t * (new - x)
         x = new
     return x
 
 
-def enumerate_patterns(histogram: np.ndarray, capacity: int, per_length: int = 4) -> list[tuple[int, ...]]:
-    """Patterns of two or three present lengths that fill a sequence, or nearly where nothing fits better.
+#: Triples, and patterns of four, that are tried for each length.
+PER_LENGTH = 6
+
+
+def enumerate_patterns(histogram: np.ndarray, capacity: int, per_length: int = PER_LENGTH) -> list[tuple[int, ...]]:
+    """Patterns of two, three or four present lengths that fill a sequence, or nearly where nothing fits better.
 
-    For each length there are the best partner and `per_length` triples with
-    well-spread middle lengths, so their number is linear in the capacity.
+    For each length as the longest there are the best partner, `per_length`
+    triples and as many patterns of four, spread evenly over what fills the rest,
+    so their number is linear in the capacity.
     """
-    present = np.flatnonzero(histogram)
+    here = np.asarray(histogram) > 0
+    here[0] = False
+    present = np.flatnonzero(here)
     if not len(present):
         return []
     found = set()
@@ -111,14 +116,29 @@ def enumerate_patterns(histogram: np.ndarray, capacity: int, per_length: int = 4
         k = int(np.searchsorted(present, room, side="right")) - 1
         return int(present[k]) if k >= 0 else 0
 
+    def add(*pattern: int) -> None:
+        if all(pattern):
+            found.add(tuple(sorted(pattern, reverse=True)))
+
+    def pairs(room: int, most: int) -> list[tuple[int, int]]:
+        """Up to `most` pairs that fill room, evenly spread; if none does so, one that nearly does."""
+        if room < 2:
+            return []
+        first = np.flatnonzero(here[1 : room // 2 + 1] & here[room - 1 : room - room // 2 - 1 : -1]) + 1 if room <= capacity else np.zeros(0)
+        if not len(first):
+            b = best_below(room // 2)
+            return [(b, best_below(room - b))]
+        return [(int(b), room - int(b)) for b in first[np.unique(np.linspace(0, len(first) - 1, most).astype(int))]]
+
     for a in map(int, present[::-1]):
-        if b := best_below(capacity - a):
-            found.add(tuple(sorted((a, b), reverse=True)))
         room = capacity - a
+        add(a, best_below(room))
+        for b, c in pairs(room, per_length):
+            add(a, b, c)
         for part in range(1, per_length + 1):
-            b = best_below(room * part // (per_length + 1))
-            if b and (c := best_below(room - b)):
-                found.add(tuple(sorted((a, b, c), reverse=True)))
+            b = best_below(max(1, room * part // (2 * per_length)))
+            for c, d in pairs(room - b, 1) if b else []:
+                add(a, b, c, d)
     return sorted(found)
 
 
@@ -159,38 +179,54 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
     return sorted(groups.items())
 
 
-#: Shares of the fitted repeats that plan() tries: fitted patterns may use up short pieces that long ones need beside them.
-SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
+#: Powers of the length by which a missing piece counts in the fit: long pieces that are left over cost more room than short ones.
+WEIGHTS = (0.5, 1.0)
+#: How often repeats are fitted to what rounding has left, at most; the share of a sequence that a pattern may leave empty.
+REFITS, WASTE = 5, 1 / 512
 
 
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how often each is used; together they hold exactly histogram[length] pieces of each length.
 
-    Fitted repeats are rounded down and the residual is packed by best fit, for
-    several shares of the repeats; the plan of fewest sequences is taken.
+    Repeats are fitted and rounded, again and again on what is left, and the last
+    residual is packed by best fit. Of the plans for several weights of the fit,
+    and of best fit alone, that of fewest sequences is taken.
     """
-    patterns = enumerate_patterns(histogram, capacity)
-    fitted = non_negative_least_squares(patterns, histogram.astype(float)) if patterns else np.zeros(0)
-    plans = []
-    for share in SHARES:
-        left = histogram.astype(np.int64).copy()
-        used: list[tuple[tuple[int, ...], int]] = []
-        repeats = np.floor(share * fitted + 1e-6).astype(np.int64)
-        # Fullest first, so that rounding and overshoot cost the wasteful patterns.
-        for k in sorted(range(len(patterns)), key=lambda k: (-sum(patterns[k]), patterns[k])):
-            pattern = patterns[k]
-            if sum(pattern) < capacity - capacity // 256:
-                continue
-            need = np.bincount(pattern, minlength=len(left))
-            n = min(int(repeats[k]), int((left[list(set(pattern))] // need[list(set(pattern))]).min()))
+    plans = [best_fit(histogram.astype(np.int64).copy(), capacity)]
+    size = lambda p: sum(n for _, n in p)
+    least = -(-int((histogram * np.arange(len(histogram))).sum()) // capacity)
+    for power in WEIGHTS:
+        if min(map(size, plans)) == least:
+            break
+        plans.append(_fitted(histogram, capacity, power))
+    return min(plans, key=size)
+
+
+def _fitted(histogram: np.ndarray, capacity: int, power: float) -> list[tuple[tuple[int, ...], int]]:
+    left = histogram.astype(np.int64).copy()
+    used: dict[tuple[int, ...], int] = defaultdict(int)
+    weight = (np.arange(len(left)) / capacity) ** power
+    for _ in range(REFITS):
+        patterns = [p for p in enumerate_patterns(left, capacity) if sum(p) >= capacity * (1 - WASTE)]
+        if not patterns:
+            break
+        repeats = non_negative_least_squares(patterns, left.astype(float), weight)
+        before = int(left.sum())
+        # Those of the largest repeats first: rounding changes them least.
+        for k in sorted(np.flatnonzero(repeats >= 0.5).tolist(), key=lambda k: (-repeats[k], patterns[k])):
+            at, need = np.unique(patterns[k], return_counts=True)
+            n = min(int(repeats[k] + 0.5), int((left[at] // need).min()))
             if n > 0:
-                used.append((pattern, n))
-                left -= n * need
-        plans.append(used + best_fit(left, capacity))
-    return min(plans, key=lambda p: sum(n for _, n in p))
+                used[patterns[k]] += n
+                left[at] -= n * need
+        if int(left.sum()) > 0.9 * before:
+            break
+    for pattern, n in best_fit(left, capacity):
+        used[pattern] += n
+    return sorted(used.items())
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """The pieces of pieces_of() with sequence_id and offset; within a sequence they lie gapless from 0.
 
     An empty table gives no rows. Lengths tie freely: pieces of one length are
@@ -199,7 +235,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = Non
     """
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
-    pieces = work.write(pieces_of(docs, capacity, ranks_path).withColumn("part", F.spark_partition_id()), "pieces")
+    pieces = work.write(pieces_of(docs, capacity, path).withColumn("part", F.spark_partition_id()), "pieces")
     counts = pieces.where(F.col("length") < capacity).groupBy("length").count().toPandas()  # capacity - 1 rows at most
     histogram = np.zeros(capacity, dtype=np.int64)
     histogram[counts["length"].to_numpy(dtype=np.int64)] = counts["count"].to_numpy(dtype=np.int64)

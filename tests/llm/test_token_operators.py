@@ -152,3 +152,31 @@ def test_op2_on_conversations(spark, sf_dir):
         chats.setdefault(r.conv_id, []).append((r.role, r.text))
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op2_chat_format(spark, sf_dir).collect()}
     assert got == {c: expected_chat(t) for c, t in chats.items()}
+
+
+HISTOGRAMS = {
+    "uniform": lambda rng: rng.integers(1, 2048, 20_000),
+    "log-normal": lambda rng: rng.lognormal(5.3, 0.8, 20_000),
+    "thirds": lambda rng: rng.normal(690, 60, 20_000),
+    "quarters": lambda rng: rng.normal(515, 25, 20_000),
+    "halves": lambda rng: rng.normal(1030, 120, 20_000),
+    "few": lambda rng: rng.choice([700, 650, 1000, 1030, 341, 1300, 5], 20_000),
+}
+
+
+@pytest.mark.parametrize("name", HISTOGRAMS)
+def test_plans_are_never_above_best_fit(name):
+    """Patterns fitted to the histogram, against best fit alone; every piece is placed once."""
+    lengths = np.clip(np.rint(HISTOGRAMS[name](np.random.default_rng(5))).astype(int), 1, 2047)
+    histogram = np.bincount(lengths, minlength=2048)
+    used = packing.plan(histogram, 2048)
+    size = lambda p: sum(n for _, n in p)
+    placed = np.zeros(2048, dtype=int)
+    for pattern, n in used:
+        assert sum(pattern) <= 2048
+        np.add.at(placed, list(pattern), n)
+    assert (placed == histogram).all()
+    alone = size(packing.best_fit(histogram.copy(), 2048))
+    assert size(used) <= alone
+    if name in ("thirds", "quarters"):
+        assert size(used) < 0.98 * alone
