@@ -120,15 +120,14 @@ def redact(text: Column, tokens: Sequence[str], placeholder: str = "[REDACTED]")
 def redact_json(texts: Column, tokens: Sequence[str], placeholder: str = "[REDACTED]") -> Column:
     """JSON text whose strings, at any depth, are redacted; keys, numbers and other values stay. Text that isn't JSON is redacted as a whole.
 
-    Strings are told from keys by what follows them, so the text is never parsed
-    into a tree of unknown depth.
+    Strings are told from keys by the colon that follows these, so the text is
+    never parsed into a tree of unknown depth.
     """
-    string = r'"(?:[^"\\]|\\.)*+"(?!\s*:)'
-    # Strings and what stands between them, in turns: the split is before and after each string that is no key.
-    strings = F.regexp_extract_all(texts, F.lit(string), F.lit(0))
+    string = r'"(?:[^"\\]|\\.)*+"(?:\s*:)?'
+    # Strings and what stands between them, in turns.
+    strings = F.transform(F.regexp_extract_all(texts, F.lit(string), F.lit(0)), lambda x: F.when(x.endswith(":"), x).otherwise(redact(x, tokens, placeholder)[0]))
     between = F.split(texts, string, -1)
-    clean = F.transform(strings, lambda x: redact(x, tokens, placeholder)[0])
-    woven = F.flatten(F.transform(F.arrays_zip(between.alias("a"), clean.alias("b")), lambda p: F.array(p["a"], F.coalesce(p["b"], F.lit("")))))
+    woven = F.flatten(F.transform(F.arrays_zip(between.alias("a"), strings.alias("b")), lambda p: F.array(p["a"], F.coalesce(p["b"], F.lit("")))))
     return F.when(texts.rlike(r"\A\s*[\[{\"]"), F.array_join(woven, "")).otherwise(redact(texts, tokens, placeholder)[0])
 
 

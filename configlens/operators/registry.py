@@ -17,13 +17,13 @@ UNINSTALL = r"SOFTWARE\\(WOW6432Node\\)?Microsoft\\Windows\\CurrentVersion\\Unin
 def installed_apps(values: DataFrame) -> DataFrame:
     """display_name, publisher, version, hive and key_path of applications with a name, sorted by name and hive.
 
-    Of keys that several views show, the first view's stays.
+    Of keys that several views show, that of the view named 64 stays.
     """
     rows = values.where(F.col("key_path").rlike(f"(?i)^{UNINSTALL}$"))
     pick = lambda name: F.max(F.when(F.lower("value_name") == name.lower(), F.col("data")))
     apps = rows.groupBy("hive", "view", "key_path").agg(pick("DisplayName").alias("display_name"), pick("Publisher").alias("publisher"), pick("DisplayVersion").alias("version"))
     named = apps.where(F.trim("display_name") != "")
-    return first_wins(named, ["hive", "key_path"], "view").orderBy(F.lower("display_name"), "hive", "key_path")
+    return first_wins(named, ["hive", "key_path"], F.desc("view")).orderBy(F.lower("display_name"), "hive", "key_path")
 
 
 def suggest_roots(tokens: DataFrame, apps: DataFrame) -> DataFrame:

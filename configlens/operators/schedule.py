@@ -25,6 +25,16 @@ def interval_seconds(text: str | int | float) -> int:
     return total
 
 
+def interval(text: Column) -> Column:
+    """The same of a column of texts; null for what isn't an interval of at least a second."""
+    value = F.lower(F.trim(text))
+    body = F.regexp_replace(F.regexp_replace(value, r"\Ap", ""), "t", "")
+    number = lambda unit: F.aggregate(F.regexp_extract_all(body, F.lit(rf"(\d+){unit}"), F.lit(1)), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    units = [number(unit) * seconds for unit, seconds in _UNITS.items()]
+    total = F.when(value.rlike(r"\A\d+(\.\d+)?\z"), value.cast("double").cast("bigint")).when(body.rlike(r"\A(\d+[smhd])+\z"), sum(units[1:], units[0]))
+    return F.when(total > 0, total)
+
+
 def seconds_of_day(text: str) -> int:
     """Seconds since midnight of `HH:MM` or `HH:MM:SS`."""
     parts = [int(p) for p in text.split(":")]

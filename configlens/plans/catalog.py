@@ -6,17 +6,15 @@ comes closest: documents are files, nations are hosts, brands are configurations
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, line_count, mask_hash, redact
 from ..operators import approvals, budget, compare, diffs, hosts, hunt, profiles, schedule, secrets, snapshots, summary, telemetry
 from ..streaming import events as streams
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import config_files, records  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES, query
+from .registry import read as _read
 
 #: Rules that fit the tables; the default ones find nothing in them.
 RULES = (
@@ -32,22 +30,6 @@ SECRET_RULES = (
 )
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return register
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
 
@@ -71,14 +53,20 @@ hits AS (
   SELECT 'email', NULL, path, line_number, trim(line), regexp_extract_all(line, '(?i)[a-z0-9.]+@[a-z0-9.]+\.com') FROM lines
     WHERE contains(low, 'mail') AND contains(low, '@') AND (contains(lower(line), 'mail') OR contains(line, '@')) AND regexp_matches(line, '(?i)[a-z0-9.]+@[a-z0-9.]+\.com')
   UNION ALL
-  SELECT 'license', 'license', path, line_number, trim(line), [] FROM lines WHERE contains(low, 'licensed') AND contains(lower(line), 'licensed')
+  SELECT 'license', 'license', path, line_number, trim(line), [trim(line)] FROM lines WHERE contains(low, 'licensed') AND contains(lower(line), 'licensed')
 )"""
 
 
-@query(f"WITH {_HITS} SELECT rule, token, path, line_number, excerpt FROM hits")
+@query(f"WITH {_HITS} SELECT rule, token, path, line_number, excerpt, array_to_string(list_filter(list_distinct_ordered, lambda x, i: list_position(list_distinct_ordered, x) = i), '|') AS matches FROM hits")
 def hunt_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents that rules find."""
-    return hunt.hunt(_files(spark, sf_dir), RULES).drop("matches")
+    """Lines of documents that rules find, with what matched."""
+    return hunt.hunt(_files(spark, sf_dir), RULES).withColumn("matches", F.array_join("matches", "|"))
+
+
+@query(f"WITH {_HITS} SELECT rule, path, line_number FROM hits WHERE contains(lower(excerpt), 'licensed')")
+def hunt_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits whose excerpt holds a text, whatever the case."""
+    return hunt.with_excerpt(hunt.hunt(_files(spark, sf_dir), RULES), "LICENSED").select("rule", "path", "line_number")
 
 
 @query(f"WITH {_HITS} SELECT coalesce(token, 'unexpected') AS token, count(*)::BIGINT AS hits FROM hits GROUP BY 1")
@@ -183,7 +171,7 @@ def profile_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _store(spark).withColumn("configs", F.expr("transform(configs, c -> named_struct('id', c.id, 'path', c.path, 'path_glob', replace(c.path_glob, '//', '/'), 'application', c.application, 'version', c.version, 'branch', c.branch, 'tags', c.tags, 'expected_format', c.expected_format, 'expected_variant', c.expected_variant, 'ignore_review_flags', c.ignore_review_flags))"))
     given = profiles.provided(["prod", "application:web"])
     files = _read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("relative_path"))
-    return profiles.matching(files, store, given, ["http:/*/fr/*", "https:*", "*"]).select("page_id", "profile", "config_id")
+    return profiles.matching(files, store, given).select("page_id", "profile", "config_id")
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, sum(o_totalprice)::DECIMAL(18,2) AS v FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1),
@@ -426,13 +414,22 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def line_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line differences between each document and the one before it of the same source."""
-    before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    pairs = _read(spark, sf_dir, "documents").select("doc_id", before.alias("before"), F.col("text").alias("after")).where("before IS NOT NULL")
+    """Line differences between each document and the one before it of the same source; a text that is null is empty."""
+    docs = _read(spark, sf_dir, "documents")
+    # Only ids pass the window of a source; texts are joined by id.
+    before = F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
+    pairs = docs.select("doc_id", before.alias("before_id")).where("before_id IS NOT NULL")
+    texts = docs.select("doc_id", "text")
+    pairs = pairs.join(texts.withColumnRenamed("text", "after"), "doc_id").join(texts.select(F.col("doc_id").alias("before_id"), F.col("text").alias("before")), "before_id")
     return diffs.line_diff(pairs).select("doc_id", "added", "removed", "changed", "drift_lines", "truncated")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT (user_id % 50)::VARCHAR AS host_id, event_type AS status, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id % 50 ORDER BY epoch_us(ts) // 1000, event_type) AS n FROM events),
+r AS (SELECT host_id, n, status, at_ms, TRUE AS fresh, status AS last_status, at_ms AS last_ms FROM e WHERE n = 1
+  UNION ALL SELECT e.host_id, e.n, e.status, e.at_ms, e.status <> r.last_status OR e.at_ms - r.last_ms >= 3600000,
+    CASE WHEN e.status <> r.last_status OR e.at_ms - r.last_ms >= 3600000 THEN e.status ELSE r.last_status END, CASE WHEN e.status <> r.last_status OR e.at_ms - r.last_ms >= 3600000 THEN e.at_ms ELSE r.last_ms END
+  FROM r JOIN e ON e.host_id = r.host_id AND e.n = r.n + 1)
+SELECT host_id, status, 'm' AS message, at_ms FROM r WHERE fresh""")
 def progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that a throttle of one hour still emits, by user."""
     rows = _read(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("host_id"), F.col("event_type").alias("status"), F.lit("m").alias("message"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
