@@ -354,9 +354,18 @@ def seen(page: Page) -> tuple[list[int], list[int], list[int]]:
     return lengths, shares, [min(PARAGRAPHS - 1, n) for n in below]
 
 
+#: Kinds that hold other elements together; a page without them is bare, nothing but its text.
+_HOLDING = {_NAMES.index(k) for k in ("nav", "header", "footer", "aside", "form", "article", "main", "section", "div")}
+
+
+def bare(page: Page) -> bool:
+    """Whether nothing holds a page's elements together but its body."""
+    return _HOLDING.isdisjoint(page.kind)
+
+
 @dataclass
 class Model:
-    """Log-potentials: of the root's label; of a child's given its parent's, by kind and hint; of what is seen given the label."""
+    """Log-potentials: of the root's label, by whether the page is bare; of a child's given its parent's, by kind and hint; of what is seen given the label."""
 
     root: np.ndarray
     edge: np.ndarray
@@ -373,7 +382,7 @@ def fit(pages: Iterable[str] | None = None) -> Model:
     """
     kinds, hints = len(KINDS), 2 * _INSIDE
     edge = np.zeros((kinds, hints, 2, 2))
-    length, share, paragraphs, root = np.full((2, LENGTHS), 0.5), np.full((2, SHARES), 0.5), np.full((2, PARAGRAPHS), 0.5), np.full(2, 0.5)
+    length, share, paragraphs, root = np.full((2, LENGTHS), 0.5), np.full((2, SHARES), 0.5), np.full((2, PARAGRAPHS), 0.5), np.full((2, 2), 0.5)
     held = []
     for k, source in enumerate(labelled_pages() if pages is None else pages):
         page = parse(source)
@@ -382,7 +391,7 @@ def fit(pages: Iterable[str] | None = None) -> Model:
         if k % 3 == 2:
             held.append((page, label))
             continue
-        root[label[0]] += 1
+        root[int(bare(page)), label[0]] += 1
         for i, up in enumerate(page.parent):
             length[label[i], lengths[i]] += 1
             share[label[i], shares[i]] += 1
@@ -402,7 +411,7 @@ def fit(pages: Iterable[str] | None = None) -> Model:
     edge = edge + 1.0 * back
     edge /= edge.sum(axis=3, keepdims=True)
     length, share, paragraphs = (np.log(x / x.sum(axis=1, keepdims=True)) for x in (length, share, paragraphs))
-    models = [Model(np.log(root / root.sum()), np.log(edge), a * length, a * share, b * paragraphs) for a in TEMPERS for b in TEMPERS]
+    models = [Model(np.log(root / root.sum(axis=1, keepdims=True)), np.log(edge), a * length, a * share, b * paragraphs) for a in TEMPERS for b in TEMPERS]
     return max(models, key=lambda model: _likelihood(model, held))
 
 
@@ -457,7 +466,7 @@ def marginals(page: Page, tables: tuple) -> list[float]:
         at[0] /= s
         at[1] /= s
     belief = [0.0] * n
-    no, yes = root[0] * below[0][0], root[1] * below[0][1]
+    no, yes = (p * x for p, x in zip(root[int(bare(page))], below[0], strict=True))
     belief[0] = yes / (no + yes)
     for i in range(1, n):
         p = belief[page.parent[i]]

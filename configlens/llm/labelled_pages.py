@@ -8,6 +8,8 @@ from collections.abc import Iterator
 #: The attribute that gives an element's label, and everything below it.
 LABEL = "data-content"
 PAGES, SEED = 600, 11
+#: Share of pages without anything around their text.
+BARE = 0.05
 
 _SYLLABLES = "an ber con de en fi ga ha in ja ka lo me no os pre qua re sta to un ver wi za".split()
 
@@ -111,7 +113,16 @@ def _comments(rng: random.Random) -> str:
     return f'<{tag} {rng.choice(["class", "id"])}="{rng.choice(["comments", "comment-list", "comments-area", "discussion", "replies", "reader-comments"])}" {LABEL}=0>{inner}</{tag}>'
 
 
+def _bare(rng: random.Random) -> str:
+    """A page that is nothing but its text, some with tags left out."""
+    text = "".join(f"<p>{_words(rng, 30, 200)}" + "</p>" * (rng.random() < 0.8) for _ in range(rng.choice([1, 1, 2, 3])))
+    head = f"<h1>{_words(rng, 2, 8)}</h1>" * (rng.random() < 0.5)
+    return f"<!DOCTYPE html><html><head><title>x</title></head><body {LABEL}=1>{head}{text}</body></html>"
+
+
 def _page(rng: random.Random) -> str:
+    if rng.random() < BARE:
+        return _bare(rng)
     parts = []
     if rng.random() < 0.5:
         parts.append(f"<header {LABEL}=0>{rng.choice([_words(rng, 1, 6), f'<h1>{_words(rng, 1, 4)}</h1>', _links(rng), f'<p>{_words(rng, 2, 12)}</p>'])}</header>")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 import zlib
 
 import numpy as np
@@ -170,7 +171,7 @@ def brute_sum_product(page, tables):
     total, yes = 0.0, np.zeros(n)
     for bits in range(2**n):
         y = [(bits >> i) & 1 for i in range(n)]
-        p = root[y[0]]
+        p = root[int(html_extract.bare(page))][y[0]]
         for i in range(n):
             p *= lengths_ratio[lengths[i]] * shares_ratio[shares[i]] * paragraphs_ratio[below[i]] if y[i] else 1.0
             if i:
@@ -260,3 +261,18 @@ def test_extracts_odd_rows(spark, pages):
 )
 def test_omitted_and_unclosed_tags_hide_nothing_else(source, texts):
     assert " ".join(" ".join(text for _, text in html_extract.parse(source).texts).split()) == texts
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a ">" ', "<iframe>", "<svg>", "<!-", "</script ", "<p><caption><h1>", "&#1", "<td>"])
+def test_broken_pages_take_linear_time(pages, unit):
+    """A megabyte of one broken tag; the quadratic parser took 15 s for 60 KB."""
+    began = time.process_time()
+    html_extract.main_text(unit * (1_000_000 // len(unit)), pages[1])
+    assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("page", ["<title>t</title><p>{}", "<head><meta charset=utf-8><p>{}", "<article><button>x<p>{}</article>", "<article><svg><path d='x'><p>{}</article>", "<article><p>a <select><option>b<p>{}</article>", "<article><p title='>{}</article>"])
+def test_articles_survive_unclosed_elements(pages, page):
+    article = "words of an article that goes on and on, long enough to be one. " * 12
+    found = html_extract.main_text(page.format(article), pages[1])
+    assert article.strip() in found
