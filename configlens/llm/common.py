@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Intermediate tables of one operator call, written to the shared folder so that no lineage hangs on an executor.
 
-    drop() frees a table as soon as nothing reads it any more; what an operator's
-    lazy result still reads stays until the cluster clears the folder.
+    drop() frees a table as soon as nothing reads it any more. What an operator's
+    lazy result still reads stays; released() frees it once that has been written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        for opened in _WATCHING:
+            opened.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and return what was written."""
@@ -53,11 +56,35 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete a table written by write()."""
+        self._delete(f"{self.root}/{name}")
+
+    def close(self) -> None:
+        """Delete all tables."""
+        self._delete(self.root)
+
+    def _delete(self, where: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Lists of the workspaces that are made inside of released().
+_WATCHING: list[list[Workspace]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Closes the workspaces made inside at the end; by then, results that read them have to be written elsewhere."""
+    opened: list[Workspace] = []
+    _WATCHING.append(opened)
+    try:
+        yield
+    finally:
+        _WATCHING.remove(opened)
+        for work in opened:
+            work.close()
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is one of those that nothing is learned from; null ids count as not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
