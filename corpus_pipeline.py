@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from configlens.llm import lang_id, near_dedup, packing, quality, substring_dedup
-from configlens.llm.common import Workspace, broadcast_if_small, table
+from configlens.llm.common import Workspace, broadcast_if_small, released, table
 
 #: Documents go of whose letters a smaller share is in scripts of any learned language, besides those without a letter.
 LEAST_EXPLAINED = 0.2
@@ -70,5 +70,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        docs = work.write(stage(spark, docs, sf_dir), f"stage{number}")
+        with released():
+            docs = work.write(stage(spark, docs, sf_dir), f"stage{number}")
+        if number:
+            work.drop(f"stage{number - 1}")
     return docs
