@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import hmac
+import json
 import os
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 from glob import glob
 
 import pandas as pd
@@ -58,6 +61,52 @@ def manifest(files: DataFrame, package: str, limit: int | None = None) -> DataFr
     return rows.orderBy(F.split("source", "/"))
 
 
+def outside(files: DataFrame, collected: DataFrame) -> DataFrame:
+    """files (path) that lie in none of the collected folders (folder)."""
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/"))
+    inside = files.select("path", F.explode(above).alias("folder")).join(collected.select(F.regexp_replace("folder", "(?<=.)/+$", "").alias("folder")), "folder", "left_semi")
+    return files.join(inside.select("path").distinct(), "path", "left_anti")
+
+
+def copy_files(files: DataFrame, folder: str) -> DataFrame:
+    """source, destination, size and sha256 of files (source, destination, content) after they were written below a folder that all executors share."""
+    schema = "source string, destination string, size bigint, sha256 string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for source, destination, content in zip(frame["source"], frame["destination"], frame["content"], strict=True):
+                path, data = os.path.join(folder, destination), bytes(content)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "wb") as file:
+                    file.write(data)
+                os.replace(part, path)  # a task that is tried again leaves whole files
+                rows.append((source, destination, len(data), hashlib.sha256(data).hexdigest()))
+            yield pd.DataFrame(rows, columns=["source", "destination", "size", "sha256"])
+
+    return files.select("source", "destination", "content").mapInPandas(run, schema)
+
+
+def load_keys(text: str) -> tuple[bytes, bytes]:
+    """AES and HMAC key of a keyset in JSON: aes_key and hmac_key, each with a value in base64 or hex (encoding)."""
+    keyset = json.loads(text)
+    if not isinstance(keyset, dict):
+        raise ValueError("a keyset is a JSON object")
+    keys = []
+    for names in (("aes_key", "aes"), ("hmac_key", "hmac", "mac_key")):
+        entry = next((keyset[n] for n in names if isinstance(keyset.get(n), dict)), None)
+        if entry is None:
+            raise ValueError(f"the keyset has no {names[0]}")
+        value, encoding = str(entry.get("value") or entry.get("data") or "").strip(), str(entry.get("encoding", "base64")).lower()
+        try:
+            keys.append({"base64": lambda v: base64.b64decode(v, validate=True), "hex": bytes.fromhex}[encoding](value))
+        except (KeyError, ValueError) as e:
+            raise ValueError(f"{names[0]} can't be read as {encoding}") from e
+    check_keys(*keys)
+    return keys[0], keys[1]
+
+
 def _mac(key: bytes):
     @F.pandas_udf(T.BinaryType())
     def mac(contents: pd.Series) -> pd.Series:

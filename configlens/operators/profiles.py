@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -76,6 +77,38 @@ def suppress_review(detections: DataFrame, matched: DataFrame) -> DataFrame:
     return rows.withColumn("review_ignored", ignored).withColumn("needs_review", F.col("needs_review") & ~F.col("review_ignored")).drop("_ignore")
 
 
+def check_store(profiles: DataFrame) -> DataFrame:
+    """The store itself; names or ids that it repeats are an error."""
+    problem = store_problems(profiles).orderBy("kind", "name").first()
+    if problem:
+        raise ValueError(f"the store has {problem.kind} {problem.name!r} more than once")
+    return profiles
+
+
+def add_profile(profiles: DataFrame, new: DataFrame) -> DataFrame:
+    """The store with more profiles."""
+    return check_store(profiles.unionByName(new, allowMissingColumns=True))
+
+
+def update_profile(profiles: DataFrame, name: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The store with what `change` makes of one profile's row; no such profile is an error, and so is a store that repeats names or ids."""
+    mine = profiles.where(F.col("name") == name)
+    if mine.isEmpty():
+        raise KeyError(name)
+    return check_store(profiles.where(F.col("name") != name).unionByName(change(mine)))
+
+
+def remove_profile(profiles: DataFrame, name: str) -> DataFrame:
+    """The store without a profile."""
+    return profiles.where(F.col("name") != name)
+
+
+def remove_config(profiles: DataFrame, name: str, config_id: str) -> DataFrame:
+    """The store without one configuration of a profile."""
+    kept = F.when(F.col("name") == name, F.filter("configs", lambda c: c["id"] != config_id)).otherwise(F.col("configs"))
+    return profiles.withColumn("configs", kept)
+
+
 def find_config(profiles: DataFrame, config_id: str) -> DataFrame:
     """The configuration of an id with its profile, or nothing."""
     return configs(profiles).where(F.col("id") == config_id)
