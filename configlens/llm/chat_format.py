@@ -18,6 +18,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import AddedToken, Tokenizer
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -140,7 +141,7 @@ def format_chats(turns: DataFrame, path: str | None = None) -> DataFrame:
 
     names = ["conv_id", "formatted", "ids", "loss_mask", "token_begin", "token_end", "span_begin", "span_end"]
     ints = pa.list_(pa.int32())
-    schema = [pa.int32() if kind == "int" else pa.string() if kind == "string" else pa.int64(), pa.string(), ints, pa.list_(pa.bool_()), ints, ints, ints, ints]
+    schema = [to_arrow_type(turns.schema["conv_id"].dataType), pa.string(), ints, pa.list_(pa.bool_()), ints, ints, ints, ints]
     return _sorted(turns).mapInArrow(run, FORMATTED.format(kind=kind))
 
 

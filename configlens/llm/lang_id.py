@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, learnable, mix64, slices, texts_of
+from .common import Workspace, broadcast_if_small, fresh, learnable, mix64, slices, texts_of
 
 #: First and last code points of scripts; letters elsewhere are of script 0. Fixed values of the Unicode standard.
 SCRIPTS = {
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
     for group in (("lang", "part"), ("lang",)):
         order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
         sample = sample.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_docs).drop("n")
-    sample = sample.select("doc_id").distinct()  # most_docs ids per language
+    sample = Workspace(spark, "languages").write(sample.select("doc_id").distinct(), "sample")  # most_docs ids per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
                 at = np.flatnonzero(values)
                 yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array([kind] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(values[at].astype(np.int64))], ["lang", "kind", "at", "n"])
 
-    counted = rows.join(F.broadcast(sample), "doc_id").select("lang", "text").mapInArrow(run, "lang string, kind string, at int, n bigint")
+    counted = rows.join(broadcast_if_small(sample), "doc_id").select("lang", "text").mapInArrow(run, "lang string, kind string, at int, n bigint")
     found = counted.groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()  # 2^16 rows per language at most
     share = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(share)

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from configlens.llm import bpe, chat_format, packing, queries
+from configlens.llm.common import Workspace, released
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 TEXTS = ["", None, "a", " ", "  two  spaces ", "don't we'll I'M", "naïve café – 中文 🙂👍🏽", "x" * 5000, " " * 5000, "\n\n\t mixed\r\n", "<|endoftext|>", "a<|endoftext|> b", "123 456.78", "é‍", "the the the", "\x00\x1c\x85"]
@@ -180,3 +181,24 @@ def test_plans_are_never_above_best_fit(name):
     assert size(used) <= alone
     if name in ("thirds", "quarters"):
         assert size(used) < 0.98 * alone
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,0)", "date", "string"])
+def test_chats_have_ids_of_any_type(spark, kind):
+    given = "DATE'2024-01-01'" if kind == "date" else f"CAST(7 AS {kind})"
+    rows = spark.sql(f"SELECT {given} AS conv_id, CAST(n AS BIGINT) AS turn, IF(n = 0, 'user', 'assistant') AS role, CONCAT('t', n) AS text FROM VALUES 0, 1 AS v(n)")
+    found = chat_format.read_back(chat_format.format_chats(rows))
+    assert found.schema["conv_id"].dataType == rows.schema["conv_id"].dataType
+    assert [(r.n_turns, r.loss_chars) for r in found.collect()] == [(2, 2)]
+
+
+def test_workspaces_are_released(spark):
+    import os
+
+    outer = Workspace(spark, "outer")
+    with released():
+        inner = Workspace(spark, "inner")
+        kept = outer.write(inner.write(spark.range(3).toDF("id"), "a").where("id > 0"), "b")
+    assert not os.path.exists(inner.root.removeprefix("file://")) and kept.count() == 2
+    outer.close()
+    assert not os.path.exists(outer.root.removeprefix("file://"))
