@@ -187,10 +187,11 @@ def profile_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", F.size("profiles").cast("bigint").alias("matched"))
 
 
-@query("""SELECT n_name AS profile, n_name || '-2' AS id, 'conf/*.json' AS path_glob FROM nation WHERE n_name = 'FRANCE' AND n_nationkey % 5 <> 3""")
+@query("""SELECT n_name AS profile, n_name || '-2' AS id, 'conf/*.json' AS path_glob FROM nation WHERE n_nationkey = 7""")
 def profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The configuration of an id."""
-    return profiles.find_config(_stores(spark, sf_dir), "FRANCE-2").select("profile", "id", "path_glob")
+    name = read(spark, sf_dir, "nation").where("n_nationkey = 7").first().n_name
+    return profiles.find_config(_stores(spark, sf_dir), f"{name}-2").select("profile", "id", "path_glob")
 
 
 def _approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
