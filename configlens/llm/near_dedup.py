@@ -217,7 +217,8 @@ def across(named: DataFrame, classes: DataFrame, work: Workspace, by_lead: bool
     sizes = sizes.select("key", "division", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     rows = work.write(rows.join(sizes, ["key", "division"]).withColumn("mine", mine), "mixed")
-    short = classes.select("class", "n_shingles", "registers", "small").join(rows.select("class").distinct(), "class").mapInArrow(sketch, "class bigint, sketch binary, small binary")
+    named = broadcast_if_small(work.write(rows.select("class").distinct(), "across"))
+    short = classes.select("class", "n_shingles", "registers", "small").join(named, "class", "left_semi").mapInArrow(sketch, "class bigint, sketch binary, small binary")
     cells = rows.join(short, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
     cell = ["key", "division", "low", "high"]
@@ -329,11 +330,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "class bigint, hashes binary").dropDuplicates(["class"])
 
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that their sizes, and then their registers, leave possible."""
-    of = classes.select("class", "n_shingles", "registers")
-    size = lambda x: of.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n_{x}"))
-    side = lambda x: of.select(F.col("class").alias(x), F.col("registers").alias(f"registers_{x}"))
+def likely(pairs: DataFrame, classes: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) of classes that their sizes, and then their registers, leave possible.
+
+    Registers, the bulk of a class, are shuffled of those classes only that have a pair of fitting sizes.
+    """
+    size = lambda x: classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,10 +345,18 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(plausible(a, b, n, m)))
 
     near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    pairs = pairs.select("a", "b").join(size("a"), "a").join(size("b"), "b").where(near)
+    pairs = work.write(pairs.select("a", "b").join(size("a"), "a").join(size("b"), "b").where(near), f"sized{name}")
+    asked = broadcast_if_small(work.write(ends(pairs), f"ends{name}"))
+    of = classes.select("class", "registers").join(asked, "class", "left_semi")
+    side = lambda x: of.select(F.col("class").alias(x), F.col("registers").alias(f"registers_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """The classes of pairs, each once."""
+    return pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     side = lambda x: sets.select(F.col("class").alias(x), F.col("hashes").alias(f"hashes_{x}"))
@@ -384,9 +394,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def linked(met: DataFrame, name: str) -> DataFrame:
         """The links among the pairs met."""
-        pairs = work.write(likely(met, classes), f"pairs{name}")
-        asked = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        wanted = work.write(classes.select("class", "doc_id").join(asked, "class"), f"wanted{name}")
+        pairs = work.write(likely(met, classes, work, name), f"pairs{name}")
+        work.drop(f"sized{name}")
+        asked = broadcast_if_small(work.write(ends(pairs), f"asked{name}"))
+        wanted = work.write(classes.select("class", "doc_id").join(asked, "class", "left_semi"), f"wanted{name}")
         found = work.write(confirmed(pairs, full_sets(docs, broadcast_if_small(wanted))), f"edges{name}")
         work.drop(f"pairs{name}")
         work.drop(f"wanted{name}")
