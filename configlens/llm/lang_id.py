@@ -118,12 +118,15 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
     """
     spark = docs.sparkSession
     rows = docs.where(learnable() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    # First within salted parts of each language, so that a frequent one is ranked in many tasks.
-    sample = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("part"))
-    for group in (("lang", "part"), ("lang",)):
-        order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
-        sample = sample.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_docs).drop("n")
-    sample = Workspace(spark, "languages").write(sample.select("doc_id").distinct(), "sample")  # most_docs ids per language
+    # Hashes are counted in 4096 parts of their range, so that a frequent language is never ranked as a whole.
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("part", F.shiftright("hash", 52))
+    earlier = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = hashed.groupBy("lang", "part").count().withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).where(F.col("before") < most_docs)
+    work = Workspace(spark, "languages")
+    parts = broadcast_if_small(work.write(parts.select("lang", "part", "before"), "parts"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("lang", "part").orderBy("hash", "doc_id"))
+    sample = hashed.join(parts, ["lang", "part"]).withColumn("place", place).where(F.col("place") <= most_docs)
+    sample = work.write(sample.select("doc_id").distinct(), "sample")  # most_docs ids per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
