@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, bpe, chat_format, html_extract, lang_id, near_dedup, packing, quality, substring_dedup, topk_search
+from . import ann_search, bpe, chat_format, fill_in_middle, html_extract, lang_id, near_dedup, packing, quality, spelling, substring_dedup, topk_search
 from .common import held_out, table
 
 
@@ -66,6 +66,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent words of all documents and the forms they are variants of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed and restored, as digests."""
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -77,6 +87,8 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: What the template of chat_format makes of a text in SQL.
@@ -122,4 +134,12 @@ SELECT query_id, n::INTEGER AS rank, vec_id, score FROM (
   SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM (
     SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0))
 WHERE n <= 5""",
+    "op13_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b, ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS e FROM d),
+cut AS (SELECT doc_id, text, n, least(a, b) AS p, greatest(a, b) - least(a, b) AS m,
+  CASE WHEN text = '' OR c >= 90 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substring(text, 1, p) AS x, substring(text, p + 1, m) AS y, substring(text, p + m + 1) AS z FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts""",
 }
