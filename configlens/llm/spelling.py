@@ -104,8 +104,8 @@ def _halves(rows: DataFrame) -> DataFrame:
     return _keyed(rows, low, middle).unionByName(_keyed(rows, middle, high))
 
 
-def blocks(words: DataFrame, work: Workspace, block: int = BLOCK) -> list[DataFrame]:
-    """Rows of words in blocks of at most `block` words each, or of one place; a list of tables, one for each depth.
+def blocks(words: DataFrame, work: Workspace, block: int = BLOCK) -> DataFrame:
+    """Rows of words in blocks of at most `block` words each, or of one place.
 
     Each word stands in blocks for pairs with words of its length or longer ones,
     and in blocks for pairs with shorter ones. Blocks are counted before any row
@@ -114,15 +114,16 @@ def blocks(words: DataFrame, work: Workspace, block: int = BLOCK) -> list[DataFr
     length = F.length("word")
     both = words.select("word", "n", F.explode(F.array(length, length - 1)).alias("size"))
     rows = _halves(both.select("word", "n", "size", F.lit(0).alias("low"), (F.col("size") + 1).alias("high")))
-    found, depth = [], 0
+    found, depth = None, 0
     while True:
         rows = work.write(rows, f"blocks{depth}")
         large = rows.where(F.col("high") - F.col("low") > 1).groupBy(*_KEY).count().where(F.col("count") > block)
         large = work.write(large.select(*_KEY), f"large{depth}")
         if large.isEmpty():
-            return [*found, rows]
+            return found.unionByName(rows) if found else rows
         sides = broadcast_if_small(large)
-        found.append(rows.join(sides, _KEY, "left_anti").select(*_BLOCK_ROWS))
+        small = rows.join(sides, _KEY, "left_anti").select(*_BLOCK_ROWS)
+        found = found.unionByName(small) if found else small
         rows, depth = _halves(rows.join(sides, _KEY, "left_semi").select(*_BLOCK_ROWS)), depth + 1
 
 
@@ -193,18 +194,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_words(words: DataFrame, work: Workspace, block: int = BLOCK) -> DataFrame:
     """word, n_near and best (less, near) of each word that has a near one; best is the near word of largest n, -less."""
-    found = []
-    for rows in blocks(words, work, block):
-        # A block whose words share more before the edit is one of the forward dictionary, else of the reversed one.
-        forward = F.length("head") >= F.length("tail")
-        for rows_of, order in ((rows.where(forward), ["head", "tail"]), (rows.where(~forward), ["tail", "head"])):
-            order = [*order, "size", "low", "high"]
-            dictionary = rows_of.repartitionByRange(*order).sortWithinPartitions(*order, "word")
-            found.append(dictionary.mapInArrow(_scan, "word string, n_near bigint, less bigint, near string"))
-    all_found = found[0]
-    for more in found[1:]:
-        all_found = all_found.unionByName(more)
-    return all_found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct("less", "near")).alias("best"))
+    rows = blocks(words, work, block)
+    # A block whose words share more before the edit than after it is one of the forward dictionary, else of the reversed one.
+    forward = F.length("head") >= F.length("tail")
+
+    def scanned(part: DataFrame, *order: str) -> DataFrame:
+        order = (*order, "size", "low", "high")
+        return part.repartitionByRange(*order).sortWithinPartitions(*order, "word").mapInArrow(_scan, "word string, n_near bigint, less bigint, near string")
+
+    found = scanned(rows.where(forward), "head", "tail").unionByName(scanned(rows.where(~forward), "tail", "head"))
+    return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct("less", "near")).alias("best"))
 
 
 def roots(forms: DataFrame, work: Workspace) -> DataFrame:
