@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, bpe, chat_format, fill_in_middle, html_extract, lang_id, near_dedup, packing, quality, spelling, substring_dedup, topk_search
+from . import ann_search, bpe, chat_format, fill_in_middle, html_extract, lang_id, lm_scoring, near_dedup, packing, quality, spelling, substring_dedup, topk_search
 from .common import held_out, table
 
 
@@ -71,6 +71,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability, by a model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lm_scoring.score(docs, lm_scoring.fit(docs))
+    return found.select("doc_id", lm_scoring.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document transformed and restored, as digests."""
     return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
@@ -88,6 +95,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
