@@ -5,29 +5,33 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.shared import Tables
 from .operators import budget as budgets
 from .operators import classify, compare, diffs, hosts, hunt, package, profiles, secrets, sinks, snapshots
-from .sources import decode, files, sqlite
+from .sources import decode, files, listing, sqlite
 
 
-def _cut(rows: DataFrame, limit: int | None, sample_size: int, order: str = "file_order", by: Sequence[str] = ()) -> DataFrame:
-    """Files within a budget of sampled bytes, their samples cut to what it leaves; all of them without one."""
+def samples(listed: DataFrame, limit: int | None, sample_size: int = budgets.DEFAULT_SAMPLE, by: Sequence[str] = (), opened: Accumulator | None = None) -> DataFrame:
+    """Listed files with their samples; with a budget of sampled bytes only those within it, the last one cut. Files beyond it are not opened."""
     if limit is None:
-        return rows
-    kept = budgets.within_budget(rows.withColumn("_length", F.coalesce("length", F.lit(0))), order, "_length", sample_size, limit, by).drop("_length")
-    return kept.withColumn("sample", F.substring("sample", 1, F.col("sample_bytes").cast("int")))
+        return listing.read_samples(listed, sample_size, opened)
+    sized = listed.withColumn("_length", F.coalesce("length", F.lit(0)))
+    kept = budgets.within_budget(sized, "file_order", "_length", sample_size, limit, by).drop("_length")
+    return listing.read_samples(kept, "sample_bytes", opened)
 
 
-def scan(spark: SparkSession, root: str, budget: int | None = budgets.DEFAULT_BUDGET, sample_size: int = budgets.DEFAULT_SAMPLE, using: Sequence | None = None, **options: object) -> DataFrame:
-    """The files below a root, classified, with catalog severities; lazy.
+def scan(spark: SparkSession, root: str, budget: int | None = budgets.DEFAULT_BUDGET, sample_size: int = budgets.DEFAULT_SAMPLE, using: Sequence | None = None, glob: str = "**", links: bool = True, opened: Accumulator | None = None) -> DataFrame:
+    """The files below a root, classified, with catalog severities.
 
-    In path order, files beyond a budget of sampled bytes are never returned;
-    budget=None reads all. `using` replaces the detectors.
+    The tree is listed at once, contents are read lazily. In path order, files
+    beyond a budget of sampled bytes are neither read nor returned; budget=None
+    reads all. `using` replaces the detectors.
     """
-    rows = _cut(files.scan(spark, root, sample_size=sample_size, **options), budget, sample_size)
+    rows = samples(listing.listing(spark, {"local": [root]}, glob, links), budget, sample_size, opened=opened)
     return classify.with_catalog(classify.classify(decode.with_text(rows), using))
 
 
@@ -39,9 +43,13 @@ def scan_with_profiles(detections: DataFrame, store: DataFrame, tags: Sequence[s
     return profiles.suppress_review(detections, matched).join(nested, "relative_path", "left")
 
 
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    return decode.with_text(listing.read_samples(listing.listing(spark, {"local": [root]}))).where("text IS NOT NULL")
+
+
 def hunt_tree(spark: SparkSession, root: str, rules: Sequence[hunt.Rule] = hunt.DEFAULT_RULES, exclude: Sequence[str] = ()) -> DataFrame:
     """Hits of rules in the text files below a root."""
-    texts = decode.with_text(files.scan(spark, root)).where("text IS NOT NULL")
+    texts = _texts(spark, root)
     return hunt.hunt(texts.select(F.col("relative_path").alias("path"), "text"), rules, exclude)
 
 
@@ -53,8 +61,8 @@ def records(texts: DataFrame) -> DataFrame:
     """
     found = classify.identity(classify.classify(texts).where("format IS NOT NULL"))
     rows = hosts.last_scanned(found.withColumn("config_id", hosts.config_id())).withColumn("kind", hosts.content_type())
-    xml, text = diffs.canonical(F.col("text"), "xml"), diffs.canonical(F.col("text"))
-    return rows.where("kind = 'xml'").withColumn("canonical", xml).unionByName(rows.where("kind <> 'xml'").withColumn("canonical", text))
+    xml = diffs.canonical(F.when(F.col("kind") == "xml", F.col("text")), "xml")  # a null for all others, so that all pass once
+    return rows.withColumn("_xml", xml).withColumn("canonical", F.when(F.col("kind") == "xml", F.col("_xml")).otherwise(diffs.canonical(F.col("text")))).drop("_xml")
 
 
 def compare_hosts(spark: SparkSession, roots: dict[str, list[str]], baseline: str | None = None, budget: int | None = budgets.HOST_BUDGET, sample_size: int = budgets.DEFAULT_SAMPLE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -63,9 +71,10 @@ def compare_hosts(spark: SparkSession, roots: dict[str, list[str]], baseline: st
     The first host is the baseline unless another is named. Each host has a
     budget of sampled bytes for all of its roots.
     """
-    listed = files.scan_hosts(spark, roots, sample_size=sample_size).withColumn("scan_order", F.col("root_order").cast("bigint") * (1 << 40) + F.col("file_order"))
-    texts = decode.with_text(_cut(listed, budget, sample_size, "scan_order", ["host_id"]))
-    compared = hosts.against_baseline(records(texts).select("host_id", "config_id", "format", "variant", "relative_path", "canonical"), baseline or next(iter(roots)))
+    listed = listing.listing(spark, roots)
+    read = samples(listed, budget, sample_size, ["host_id"]).withColumn("scan_order", F.col("file_order"))
+    found = Tables(spark, "records").write(records(decode.with_text(read)))  # read and classified once for all three results
+    compared = hosts.against_baseline(found.select("host_id", "config_id", "format", "variant", "relative_path", "canonical"), baseline or next(iter(roots)))
     compared = diffs.line_diff(compared, "baseline_canonical", "canonical")
     known = spark.createDataFrame([(h,) for h in roots], "host_id string")
     exists = spark.createDataFrame([(h, files.exists(r)) for h, paths in roots.items() for r in paths], "host_id string, exists boolean")
@@ -75,7 +84,7 @@ def compare_hosts(spark: SparkSession, roots: dict[str, list[str]], baseline: st
 
 def find_secrets(spark: SparkSession, root: str, rules: Sequence[secrets.SecretRule] = secrets.SAMPLE_RULES) -> DataFrame:
     """Lines with secrets in the text files below a root."""
-    texts = decode.with_text(files.scan(spark, root)).where("text IS NOT NULL")
+    texts = _texts(spark, root)
     return secrets.scan(texts.select(F.col("relative_path").alias("path"), "text"), rules)
 
 

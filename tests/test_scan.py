@@ -67,8 +67,7 @@ def test_classifies(spark, tree):
 
 
 def test_classification_does_not_depend_on_partitions(spark, tree):
-    few = engine.scan(spark, str(tree), files_per_task=1000).select("relative_path", "format", "variant", "confidence")
-    many = engine.scan(spark, str(tree), files_per_task=1).select("relative_path", "format", "variant", "confidence")
+    few, many = (classify.classify(decode.with_text(files.scan(spark, str(tree), files_per_task=k))).select("relative_path", "format", "variant", "confidence") for k in (1000, 1))
     assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
 
 
