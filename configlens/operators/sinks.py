@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from email.message import EmailMessage
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,12 +96,21 @@ def scan_table(detections: DataFrame) -> DataFrame:
     return detections.select(*((ellipsis(c, TABLE_WIDTHS[n]) if n in TABLE_WIDTHS else c).alias(n) for n, c in zip(TABLE_COLUMNS, filled, strict=True)))
 
 
-def print_table(detections: DataFrame, rows: int = 1000) -> str:
-    """The table as text for people: the first `rows` files by path."""
-    table = scan_table(detections).orderBy("Path").limit(rows).collect()
-    widths = [max([len(c), 4, *(len(r[c]) for r in table)]) for c in TABLE_COLUMNS]
+def table_lines(detections: DataFrame) -> Iterator[str]:
+    """The table for people line by line, all files by path; only one partition at a time is on the driver."""
+    table = scan_table(detections)
+    longest = table.agg(*(F.max(F.length(c)).alias(c) for c in TABLE_COLUMNS)).first()
+    widths = [max(len(c), 4, longest[c] or 0) for c in TABLE_COLUMNS]
     line = lambda cells: "  ".join(c.ljust(w) for c, w in zip(cells, widths, strict=True)).rstrip()
-    return "\n".join([line(TABLE_COLUMNS), line(["-" * w for w in widths]), *(line([r[c] for c in TABLE_COLUMNS]) for r in table)])
+    yield line(TABLE_COLUMNS)
+    yield line(["-" * w for w in widths])
+    for row in table.orderBy("Path").toLocalIterator():
+        yield line([row[c] for c in TABLE_COLUMNS])
+
+
+def print_table(detections: DataFrame) -> str:
+    """The table as one text."""
+    return "\n".join(table_lines(detections))
 
 
 def scan_json(detections: DataFrame) -> DataFrame:
@@ -127,11 +136,22 @@ def write_patches(diffs: DataFrame, folder: str) -> None:
 
 
 def free_names(wanted: DataFrame, taken: DataFrame, key: str = "name") -> DataFrame:
-    """wanted (name, rank) with free_name: name, or name-1, name-2, ... as often as it is taken or wanted before."""
-    used = taken.select(F.regexp_replace(key, r"-\d+\z", "").alias(key)).groupBy(key).agg(F.count("*").alias("_used"))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("rank")) - 1
-    rows = wanted.join(used, key, "left").withColumn("_at", F.coalesce("_used", F.lit(0)) + number)
-    return rows.withColumn("free_name", F.when(F.col("_at") == 0, F.col(key)).otherwise(F.concat_ws("-", F.col(key), F.col("_at").cast("string")))).drop("_used", "_at")
+    """wanted (name, rank) with free_name: name, or the first of name-1, name-2, ... that is neither taken nor wanted by itself, in order of rank.
+
+    Names taken by others leave gaps, which are filled; each name is given once.
+    """
+    counted = wanted.groupBy(key).agg(F.count("*").alias("_wanted"))
+    # What is taken, or wanted as such, by the stem before its number; the bare name is number 0.
+    used = taken.select(key).union(counted.select(key)).distinct()
+    numbered = used.select(F.regexp_replace(key, r"-[1-9]\d{0,8}\z", "").alias("_stem"), F.regexp_extract(key, r"-([1-9]\d{0,8})\z", 1).alias("_n")).where("_n <> ''")
+    used = numbered.select(F.col("_stem").alias(key), F.col("_n").cast("bigint").alias("_n")).union(taken.select(key, F.lit(0).cast("bigint"))).distinct()
+    room = counted.join(used.groupBy(key).agg(F.count("*").alias("_used")), key, "left")
+    numbers = room.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_used", F.lit(0).cast("bigint")) + F.col("_wanted"))).alias("_n"))
+    place = lambda order: F.row_number().over(Window.partitionBy(key).orderBy(order))
+    free = numbers.join(used, [key, "_n"], "left_anti").withColumn("_at", place("_n"))
+    rows = wanted.withColumn("_at", place("rank")).join(free, [key, "_at"])
+    name = F.when(F.col("_n") == 0, F.col(key)).otherwise(F.concat_ws("-", F.col(key), F.col("_n").cast("string")))
+    return rows.withColumn("free_name", name).select(*wanted.columns, "free_name")
 
 
 def write_diff_cache(compared: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import digest, line_count, mask_hash, redact
 from ..operators import approvals, budget, compare, diffs, hosts, hunt, profiles, schedule, secrets, snapshots, summary, telemetry
 from ..streaming import events as streams
-from . import config_files, records  # noqa: F401  they register their queries
+from . import config_files, records, walks  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES, query
 from .registry import read as _read
 

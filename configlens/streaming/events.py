@@ -18,7 +18,8 @@ def throttle(progress: DataFrame, gap_ms: int = THROTTLE_MS) -> DataFrame:
     A host's event is dropped if status and message are those of its last emitted
     one and less than gap_ms have passed since that. The gap is measured to the
     last emitted event, so a lag over neighbours would not do; the state is that
-    event. The same function takes a batch table, whose hosts are sorted by Spark
+    event. Events of one time are taken by status and message. An event without a
+    time is emitted, after the others, and none is measured against it. The same function takes a batch table, whose hosts are sorted by Spark
     and pass batch by batch, so that memory doesn't follow a host's history.
     """
 
@@ -56,8 +57,11 @@ def _runs(values: pd.Series) -> pd.Series:
 
 def _emitted(frame: pd.DataFrame, last: tuple | None, gap_ms: int) -> tuple[pd.DataFrame, tuple | None]:
     keep = []
-    frame = frame.sort_values("at_ms", kind="stable")
+    frame = frame.astype({"at_ms": "Int64"}).sort_values(["at_ms", "status", "message"], kind="stable", na_position="last")
     for status, message, at in zip(frame["status"], frame["message"], frame["at_ms"], strict=True):
+        if at is pd.NA:
+            keep.append(True)
+            continue
         fresh = last is None or (status, message) != tuple(last[:2]) or at - last[2] >= gap_ms
         keep.append(fresh)
         if fresh:
