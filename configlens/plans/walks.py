@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shared import Tables
-from ..operators import registry, sinks, structure
+from ..operators import classify, failures, fuzz, registry, sinks, structure, xml_scopes
 from ..operators.cache import CacheLog
+from ..sources import decode
 from ..streaming import schedules
 from .config_files import digit, files_of, if_, on, sql_digit
 from .registry import query, read
@@ -159,3 +160,99 @@ def free_names_in_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.floor(F.col("id") / 50)
     taken = spark.range(1000).where("id % 3 <> 0").select(F.concat(F.lit("n"), (F.col("id") % 50).cast("string"), F.when(number > 0, F.concat(F.lit("-"), number.cast("string"))).otherwise("")).alias("name"))
     return sinks.free_names(wanted, taken).select("o_orderkey", "free_name")
+
+
+_HEADS = [  # name, text before {x}, root namespace, variant
+    ("a.xml", "<?xml version='1.0'?><!-- <assembly xmlns='urn:no'> --><asm:assembly xmlns:asm='urn:schemas-microsoft-com:asm.v1' manifestVersion='1.0'{x}><q xmlns='urn:inner'/></asm:assembly>", "urn:schemas-microsoft-com:asm.v1", "app-manifest-xml", 1, 55, "manifestVersion=1.0"),
+    ("b.config", "<!DOCTYPE nlog [<!ELEMENT x (y)>]>\n<nlog{x} autoReload=\"a>b\"\n  throw='no'><t xmlns='urn:schemas-microsoft-com:asm.v1'/></nlog>", None, "nlog-config", 2, 6, 'autoReload=a>b|throw=no'),
+    ("c.props", "<Project xmlns='http://schemas.microsoft.com/developer/msbuild/2003'{x}><Import Project='d'/></Project>", "http://schemas.microsoft.com/developer/msbuild/2003", "msbuild-props", 1, 10, ""),
+    ("d.resx", "\n\n <w:Window xmlns='urn:other'\n xmlns:w='http://schemas.microsoft.com/winfx/2006/xaml'{x}/>", "http://schemas.microsoft.com/winfx/2006/xaml", "interface-xml", 3, 12, ""),
+    ("e.manifest", "<plain{x}><s xmlns='http://www.w3.org/1999/XSL/Transform'/></plain>", None, None, 1, 1, ""),
+    ("f.txt", "<z:stylesheet version=\"1\" xmlns:z = 'http://www.w3.org/1999/XSL/Transform'{x}>\n<z:template/></z:stylesheet>", "http://www.w3.org/1999/XSL/Transform", "xslt-xml", 1, 15, "version=1"),
+]
+
+
+def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda f: F.element_at(F.array(*(F.lit(f(x)) for x in _HEADS)), (digit(1, 6) + 1).cast("int"))
+    added = F.when(digit(6) == 1, F.concat(F.lit(" size='"), F.col("p_size").cast("string"), F.lit("'"))).otherwise("")
+    text = F.concat(pick(lambda x: x[1].split("{x}")[0]), added, pick(lambda x: x[1].split("{x}")[1]))
+    return files_of(spark, sf_dir, pick(lambda x: x[0]), text).withColumn("path", F.col("p_partkey"))
+
+
+def _quoted(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+_SIZED = f"CASE WHEN {sql_digit(6)} = 1 THEN 'size=' || p_size END"
+
+
+@query(f"""WITH heads(k, root_namespace, variant, line, given) AS (VALUES {", ".join(f"({k}, {_quoted(x[2])}, {_quoted(x[3])}, {2 if k == 1 else 3 if k == 3 else 1}, {_quoted(x[6] or None)})" for k, x in enumerate(_HEADS))})
+SELECT p_partkey, coalesce(root_namespace, '-') AS root_namespace, coalesce(variant, '-') AS variant, line::INTEGER AS line, array_to_string(list_sort(list_filter(string_split(coalesce(given, ''), '|') || [{_SIZED}], lambda x: x <> '')), '|') AS attributes
+FROM part JOIN heads ON k = {sql_digit(1, 6)}""")
+def xml_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of documents with their attributes, and the variants that their namespaces say whatever the suffix and whatever is declared below."""
+    rows = xml_scopes.roots(_heads(spark, sf_dir))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|")
+    return rows.select(F.col("path").alias("p_partkey"), F.coalesce("root_namespace", F.lit("-")).alias("root_namespace"), F.coalesce("variant", F.lit("-")).alias("variant"), "line", shown.alias("attributes"))
+
+
+_DECLARED = [(0, "asm", "urn:schemas-microsoft-com:asm.v1", "asm:assembly", 0), (0, None, "urn:inner", "q", 1), (1, None, "urn:schemas-microsoft-com:asm.v1", "t", 1), (2, None, "http://schemas.microsoft.com/developer/msbuild/2003", "Project", 0), (3, None, "urn:other", "w:Window", 0), (3, "w", "http://schemas.microsoft.com/winfx/2006/xaml", "w:Window", 0), (4, None, "http://www.w3.org/1999/XSL/Transform", "s", 1), (5, "z", "http://www.w3.org/1999/XSL/Transform", "z:stylesheet", 0)]
+
+
+@query(f"""WITH d(k, prefix, uri, element, depth) AS (VALUES {", ".join(f"({k}, {_quoted(p)}, {_quoted(u)}, {_quoted(e)}, {n})" for k, p, u, e, n in _DECLARED)})
+SELECT p_partkey, coalesce(prefix, '-') AS prefix, uri, element, depth::INTEGER AS depth, substr(sha1('xmlns' || coalesce(':' || prefix, '') || '|' || uri), 1, 12) AS fingerprint FROM part JOIN d ON k = {sql_digit(1, 6)}""")
+def xml_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each namespace is declared: in which element, how deep, with its fingerprint."""
+    rows = xml_scopes.namespaces(_heads(spark, sf_dir))
+    return rows.select(F.col("path").alias("p_partkey"), F.coalesce("prefix", F.lit("-")).alias("prefix"), "uri", "element", "depth", "fingerprint")
+
+
+def _failing(path: str, sample: bytes, text: str | None) -> dict | None:
+    key = int(path.split("/")[0])
+    if key % 4 == 1:
+        raise OSError(f"broken {key}")
+    return {"format": "note", "variant": 7 if key % 8 == 6 else "kept", "confidence": 0.6} if key % 4 == 2 else None
+
+
+def _odd(path: str, sample: bytes, text: str | None) -> dict | None:
+    return {"confidence": 1} if int(path.split("/")[0]) % 3 == 0 else None  # without a format
+
+
+@query("""WITH p AS (SELECT p_partkey AS k FROM part), c AS (SELECT k, CASE WHEN k % 5 = 0 AND k % 4 <> 2 THEN '-' WHEN k % 4 = 2 THEN 'note' ELSE 'ini' END AS format FROM p)
+SELECT c.k AS p_partkey, format, stage, error, message FROM c JOIN (SELECT k, 'failing' AS stage, 'OSError' AS error, 'broken ' || k AS message FROM p WHERE k % 4 = 1 UNION ALL SELECT k, 'odd', 'KeyError', '''format''' FROM p WHERE k % 3 = 0 UNION ALL SELECT k, 'read', 'PermissionError', '-' FROM p WHERE k % 5 = 0) e ON e.k = c.k
+UNION ALL SELECT k, format, '-', '-', '-' FROM c WHERE k % 4 <> 1 AND k % 3 <> 0 AND k % 5 <> 0""")
+def detector_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are classified although detectors fail on them, beside every failure; none is lost."""
+    hidden = digit(1, 5) == 0
+    files = files_of(spark, sf_dir, F.lit("a.ini"), F.lit("[a]\nk = 1\nl = 2\n"))
+    files = files.withColumn("sample", F.when(~hidden, F.col("sample"))).withColumn("text", F.when(~hidden, F.col("text"))).withColumn("error", F.when(hidden, "PermissionError"))
+    using = classify.with_plugins(classify.PythonDetector("failing", 5, _failing), classify.PythonDetector("odd", 6, _odd))
+    found, errors = failures.classify_recorded(files, using)
+    shown = lambda c: F.coalesce(c, F.lit("-")).alias(c)
+    return found.select("p_partkey", "format", F.col("relative_path").alias("path")).join(errors, "path", "left").select("p_partkey", *map(shown, ("format", "stage", "error", "message")))
+
+
+_DRAWN = "('0x' || substr(sha256('7:' || p_partkey || '/notes.cfg:' || t || ':{what}'), 1, 8))::BIGINT"
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS k, t, CASE WHEN p_partkey % 9 = 0 THEN 3 ELSE {_DRAWN.format(what="mutation")} % 5 END AS m, {_DRAWN.format(what="place")} % greatest(1, n) AS place, n, greatest(1, n // 10) AS tenth, {_DRAWN.format(what="byte")} AS b
+  FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE 40 + p_partkey % 50 END AS n FROM part), range(0, 4) x(t))
+SELECT k AS p_partkey, t::INTEGER AS trial, ['flip', 'drop', 'repeat', 'comment', 'cut'][m + 1] AS mutation, md5(CASE m WHEN 0 THEN repeat('k', place) || chr(((107 + 1 + b % 255) % 256)::INTEGER) || repeat('k', n - place - 1) WHEN 1 THEN repeat('k', place + greatest(0, n - place - tenth)) WHEN 2 THEN repeat('k', least(n, place + tenth) + n - place)
+  WHEN 3 THEN '# note ' || (b % 10000) || chr(10) || repeat('k', n) ELSE repeat('k', greatest(place, n // 2)) END) AS damaged FROM r WHERE m <> 0 OR (107 + 1 + b % 255) % 256 < 128""")
+def fuzz_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged samples; flips to bytes beyond ASCII are left to tests, since SQL has texts only."""
+    n = F.when(digit(1, 9) == 0, 0).otherwise(digit(1, 50) + 40).cast("int")
+    files = files_of(spark, sf_dir, F.lit("notes.cfg"), F.repeat(F.lit("k"), n)).select("p_partkey", "relative_path", "sample")
+    rows = fuzz.mutated(files, 4, 7)
+    readable = F.expr("mutation <> 'flip' OR NOT hex(sample) RLIKE '^(?:..)*?[89A-F]'")
+    return rows.where(readable).select("p_partkey", "trial", "mutation", F.md5("sample").alias("damaged"))
+
+
+@query(f"""WITH r AS (SELECT p_partkey, t, {_DRAWN.replace("notes.cfg", "sample.db").format(what="mutation")} % 2 AS m FROM part, range(0, 3) x(t))
+SELECT CASE WHEN p_partkey % 2 = 1 THEN 'binary-hybrid' ELSE 'unmatched' END AS plugin, count(*) AS trials, count(*) FILTER (m = 1 OR p_partkey % 2 = 0) AS kept, 0::BIGINT AS moved, count(*) FILTER (m = 0 AND p_partkey % 2 = 1) AS lost, round(count(*) FILTER (m = 1 OR p_partkey % 2 = 0) / count(*), 6) AS score FROM r GROUP BY 1""")
+def fuzz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a detector keeps its files when a line is put before them or they are cut: marks at the top of a file are lost by the first."""
+    magic = F.when(on(1), F.concat(F.lit(b"SQLite format 3\x00"), F.repeat(F.lit("\x01"), 80).cast("binary"))).otherwise(F.repeat(F.lit("\x01"), 80).cast("binary"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.lit("sample.db").alias("name"), F.lit(".db").alias("extension"), F.concat_ws("/", F.col("p_partkey").cast("string"), F.lit("sample.db")).alias("relative_path"), magic.alias("sample"))
+    before = Tables(spark, "fuzz").write(classify.classify(decode.with_text(rows)).select("relative_path", "plugin", "format"))
+    return fuzz.robustness(before, classify.classify(decode.with_text(fuzz.mutated(rows, 3, 7, ("comment", "cut")))))
