@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_folder
+
 #: ASCII white space; words of the deduplication operators are what lies between.
 WORD_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -24,15 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where that is unset and all runs in one process (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.conf.get("spark.master", "")
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
-        found = f"file://{tempfile.mkdtemp(prefix='configlens-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir, or one of this process where that is unset and all runs in it (tests)."""
+    return shared_folder(spark)
 
 
 class Workspace:
