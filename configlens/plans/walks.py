@@ -264,24 +264,26 @@ _LIMIT, _VOLUME = 60_000, 9_000
 
 
 def _page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = F.concat(F.lit(" h/"), (F.col("page_id") % 7).cast("string"))
+    host = F.concat(F.lit(" h/"), F.floor(F.col("page_id") / 20).cast("string"))
     return read(spark, sf_dir, "pages").select(host.alias("host_id"), F.concat(F.lpad((F.col("page_id") % 100).cast("string"), 2, "0"), F.lit("/p"), F.col("page_id").cast("string")).alias("relative_path"), F.col("html").cast("binary").alias("content"))
 
 
-_ENTRIES = f"""f AS (SELECT 'h-' || (page_id % 7) AS package, lpad((page_id % 100)::VARCHAR, 2, '0') || '/p' || page_id AS entry, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages),
+_ENTRIES = f"""f AS (SELECT 'h-' || (page_id // 20) AS package, lpad((page_id % 100)::VARCHAR, 2, '0') || '/p' || page_id AS entry, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages),
 s AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY package ORDER BY string_split(entry, '/') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM f),
 w AS (SELECT *, bool_and(before + size <= {_LIMIT}) OVER (PARTITION BY package ORDER BY before, string_split(entry, '/') ROWS UNBOUNDED PRECEDING) AS written FROM s)"""
 
 
-@query(f"WITH {_ENTRIES} SELECT package, before // {_VOLUME} AS volume, entry, size, sha256(html) AS sha256 FROM w WHERE written")
+@query(f"WITH {_ENTRIES} SELECT package, before // {_VOLUME} AS volume, entry, size, sha256(html) AS sha256 FROM w")
 def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the archives of hosts' pages hold, up to each package's limit of bytes, in volumes."""
-    return archive.write_archives(_page_files(spark, sf_dir), _archive_folder(spark), _LIMIT, _VOLUME)[0]
+    """What the archives of hosts' pages hold, in volumes, as read back from them."""
+    folder = _archive_folder(spark)
+    archive.write_archives(_page_files(spark, sf_dir), folder, volume=_VOLUME)
+    return archive.read_archives(spark, folder)
 
 
 @query(f"WITH {_ENTRIES} SELECT package, count(*) FILTER (written) AS entries, coalesce(sum(size) FILTER (written), 0)::BIGINT AS bytes, count(DISTINCT before // {_VOLUME}) FILTER (written) AS volumes, count(*) FILTER (NOT written) AS refused, CASE WHEN bool_and(written) THEN 'complete' ELSE 'aborted' END AS status FROM w GROUP BY package")
 def archive_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What became of each package."""
+    """What became of each package under a limit of bytes."""
     return archive.write_archives(_page_files(spark, sf_dir), _archive_folder(spark), _LIMIT, _VOLUME)[1]
 
 
