@@ -260,7 +260,7 @@ def fuzz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzz.robustness(before, classify.classify(decode.with_text(fuzz.mutated(rows, 3, 7, ("comment", "cut")))))
 
 
-_LIMIT, _VOLUME = 60_000, 9_000
+_LIMIT, _VOLUME = 60_000, 30_000
 
 
 def _page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
