@@ -1,10 +1,12 @@
 """HTML extraction (4) with a tree-structured graphical model.
 
-Block elements of a page form a tree. Each has a hidden label, content or not;
-potentials connect it to its parent's label and to what is seen of it (kind of
-element, words of its class and id, text length, share of link text). Sum-product
-messages go up and down the tree once, and text stays where the marginal
-of its element says content. All potentials are counted on labelled pages.
+Block elements of a page form a tree. Each has a hidden label, content or not.
+Log-linear potentials connect it to its parent's label (by its kind and by each
+hint in its class, id and role on its own) and to what is seen of it (text
+length, its share of the page's text, share of link text, paragraphs below).
+Sum-product messages go up and down the tree once, and text stays where the
+marginal of its element says content. The weights are those under which labels
+of labelled pages are likeliest, found by gradient steps through the messages.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ HINTS = {
     "content": "article content post entry main body story text prose",
 }
 #: Elements whose text is never shown, or is a control's.
-HIDDEN = {"head", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "button", "select", "textarea", "datalist"}
+HIDDEN = {"head", "title", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "object", "canvas", "audio", "video", "button", "select", "textarea", "datalist"}
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript"}
 #: Start tags that may be in a head; any other one ends it, since </head> and <body> may be left out.
 IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
@@ -67,9 +69,11 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 _KIND_OF = {tag: k for k, tags in enumerate(KINDS.values()) for tag in tags.split()}
 _NAMES = list(KINDS)
-_HINT_OF = {word: k + 1 for k, words in enumerate(HINTS.values()) for word in words.split()}
-#: Number of the hint at content; what is added to hints of elements inside others that are typically not content, and these kinds.
-_CONTENT, _INSIDE = len(HINTS), len(HINTS) + 1
+_HINT_OF = {word: k for k, words in enumerate(HINTS.values()) for word in words.split()}
+_CONTENT = list(HINTS).index("content")
+#: Words that say of the next word, or of the one before, that it is only about the layout: `with-sidebar`, `ad-free`.
+_BEFORE, _AFTER = {"with", "without", "has", "have", "no", "is", "not"}, {"free", "open", "closed", "enabled", "disabled", "less"}
+#: Kinds whose elements are typically not content, nor what is inside them.
 _APART = {_NAMES.index(k) for k in ("nav", "footer", "aside", "form")}
 #: Elements that end an open paragraph, and what ends an open element of the same sort.
 _ENDS_P = {t for k in ("nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "heading", "list", "table", "quote", "figure") for t in KINDS[k].split()} | {"p", "address", "hr"}
@@ -88,11 +92,13 @@ class Page:
 
     parent: list[int]
     kind: list[int]
-    hint: list[int]
+    hints: list[tuple[int, ...]]
+    inside: list[bool]
     given: list[int]
     texts: list[tuple[int, str]]
     length: list[int]
     linked: list[int]
+    stretches: list[int]
 
 
 def _tags(source: str) -> list[tuple[int, int, bool, str, str]]:
@@ -183,7 +189,8 @@ def parse(source: str) -> Page:
     A hidden element ends with its end tag or that of its parent; one without an
     end tag ends at the next block, so that it hides nothing else.
     """
-    parent, kind, hint, given, length, linked = [-1], [0], [0], [-1], [0], [0]
+    parent, kind, hints, inside, given, length, linked = [-1], [0], [()], [False], [-1], [0], [0]
+    stretches, broken = [0], [0]  # own stretches of text between br elements, and the length where the last one ended
     texts: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]
     open_count = {"html": 1}
@@ -258,6 +265,9 @@ def parse(source: str) -> Page:
             continue
         if name == "br":
             add(" ")
+            node = stack[-1][1]
+            stretches[node] += length[node] - broken[node] >= STRETCH
+            broken[node] = length[node]
             continue
         if name not in _KIND_OF:
             if name in ("td", "th", "img", "input", "hr"):
@@ -295,32 +305,35 @@ def parse(source: str) -> Page:
         node, above = len(parent), stack[-1][1]
         parent.append(above)
         kind.append(_KIND_OF[name])
-        # Elements below a hinted or typical non-content element have hints of their own.
-        apart = hint[above] >= _INSIDE or kind[above] in _APART or 0 < hint[above] < _CONTENT
-        hint.append(_hint(attributes) + _INSIDE * apart)
+        inside.append(inside[above] or kind[above] in _APART or any(k != _CONTENT for k in hints[above]))
+        hints.append(_hints(attributes))
         given.append(_given(attributes))
-        length.append(0)
-        linked.append(0)
+        for counts in (length, linked, stretches, broken):
+            counts.append(0)
         if name == "p" or name in _BOUND:
             (paragraphs if name == "p" else bounds).append(len(stack))
         stack.append((name, node))
         open_count[name] = open_count.get(name, 0) + 1
     add(source[at:])
     flush()
-    return Page(parent, kind, hint, given, texts, length, linked)
+    for node, n in enumerate(stretches):
+        stretches[node] += n > 0 and length[node] - broken[node] >= STRETCH
+    return Page(parent, kind, hints, inside, given, texts, length, linked, stretches)
 
 
-def _hint(attributes: str) -> int:
-    best = 0
+def _hints(attributes: str) -> tuple[int, ...]:
+    """The hints of an element, each once; words that only tell its layout are none."""
+    found = set()
     if "=" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             if name.lower() in ("class", "id", "role"):
-                for word in _HINT_WORD.findall("".join(values)):
-                    word = word.lower()
-                    found = _HINT_OF.get(word) or _HINT_OF.get(word.rstrip("s"), 0)
-                    if found and (not best or found < best):
-                        best = found
-    return best
+                for value in "".join(values).split():
+                    words = [word.lower() for word in _HINT_WORD.findall(value)]
+                    for k, word in enumerate(words):
+                        hint = _HINT_OF.get(word, _HINT_OF.get(word.rstrip("s")))
+                        if hint is not None and _BEFORE.isdisjoint(words[:k]) and not (k + 1 < len(words) and words[k + 1] in _AFTER):
+                            found.add(hint)
+    return tuple(sorted(found))
 
 
 def _given(attributes: str) -> int:
@@ -332,30 +345,36 @@ def _given(attributes: str) -> int:
     return -1
 
 
-#: Exponents of what is seen of an element, of which fit() takes the one under which labels of other pages are likeliest:
-#: lengths of nested elements depend on each other, so each counts for less than on its own.
-TEMPERS = (0.0, 0.05, 0.1, 0.2, 0.35, 0.6, 1.0)
-#: Buckets of text length (powers of four), of the share of link text and of the number of paragraphs and headings right below.
-LENGTHS, SHARES, PARAGRAPHS = 7, 4, 4
+#: Buckets of text length (powers of four), of the share of link text, of the number of paragraphs and headings right below, and of the share of the page's text.
+LENGTHS, SHARES, PARAGRAPHS, PARTS = 7, 4, 4, 6
+#: Least text, in characters, of a stretch between br elements, or of an element of another kind, to count as a paragraph.
+STRETCH = 40
 _PARAGRAPH_KINDS = {_NAMES.index(k) for k in ("para", "heading", "quote")}
+_TEXT_KINDS = {_NAMES.index(k) for k in ("div", "section", "cell")}
+_WHOLE_KINDS = {_NAMES.index(k) for k in ("article", "main")}
+#: Kinds that hold other elements together; a page without them is bare, nothing but its text.
+_HOLDING = {_NAMES.index(k) for k in ("nav", "header", "footer", "aside", "form", "article", "main", "section", "div")}
 
 
-def seen(page: Page) -> tuple[list[int], list[int], list[int]]:
-    """Length and link-share buckets of each element with all below it, and its paragraphs."""
+def seen(page: Page) -> list[tuple[int, int, int, int]]:
+    """Buckets of length, link share, paragraphs and share of the page's text, of each element with all below it."""
     total, links = page.length.copy(), page.linked.copy()
+    below = page.stretches.copy()
     for i in range(len(total) - 1, 0, -1):
-        total[page.parent[i]] += total[i]
-        links[page.parent[i]] += links[i]
-    lengths = [min(LENGTHS - 1, (n.bit_length() + 1) // 2) for n in total]
-    shares = [0 if not n or not k else 1 + min(SHARES - 2, int(3 * k / n)) for n, k in zip(total, links, strict=True)]
-    below = [0] * len(total)
-    for i in range(1, len(total)):
-        below[page.parent[i]] += page.kind[i] in _PARAGRAPH_KINDS
-    return lengths, shares, [min(PARAGRAPHS - 1, n) for n in below]
-
-
-#: Kinds that hold other elements together; a page without them is bare, nothing but its text.
-_HOLDING = {_NAMES.index(k) for k in ("nav", "header", "footer", "aside", "form", "article", "main", "section", "div")}
+        up = page.parent[i]
+        total[up] += total[i]
+        links[up] += links[i]
+        below[up] += page.kind[i] in _PARAGRAPH_KINDS or page.kind[i] in _TEXT_KINDS and page.length[i] - page.linked[i] >= STRETCH
+    whole = total[0] or 1
+    return [
+        (
+            min(LENGTHS - 1, (n.bit_length() + 1) // 2),
+            0 if not n or not k else 1 + min(SHARES - 2, int(3 * k / n)),
+            min(PARAGRAPHS - 1, (p + 1) // 2),
+            min(PARTS - 1, 1 + int((PARTS - 1) * n / whole)) if n else 0,
+        )
+        for n, k, p in zip(total, links, below, strict=True)
+    ]
 
 
 def bare(page: Page) -> bool:
@@ -363,56 +382,106 @@ def bare(page: Page) -> bool:
     return _HOLDING.isdisjoint(page.kind)
 
 
+def lone(page: Page) -> bool:
+    """Whether no element says by its kind or its hints that it is the content."""
+    return _WHOLE_KINDS.isdisjoint(page.kind) and not any(_CONTENT in hints for hints in page.hints)
+
+
+def _pairs(kind: int, hints: tuple[int, ...], inside: bool, alone: bool) -> list[int]:
+    """Numbers of the pair weights of an element: its kind and each hint, by whether it is inside of what is typically not content, else by whether the page is lone()."""
+    state = 2 if inside else int(alone)
+    return [kind + len(KINDS) * state, *(3 * len(KINDS) + h + len(HINTS) * state for h in hints)]
+
+
 @dataclass
 class Model:
-    """Log-potentials: of the root's label, by whether the page is bare; of a child's given its parent's, by kind and hint; of what is seen given the label."""
+    """Weights: of the root's label, by whether the page is bare; of pairs of labels (parent's, child's) by kind, hint and place; of content by what is seen, for the two kinds of pages that lone() tells apart."""
 
     root: np.ndarray
-    edge: np.ndarray
-    length: np.ndarray
-    share: np.ndarray
-    paragraphs: np.ndarray
+    pair: np.ndarray
+    seen: list[np.ndarray]
+
+    @classmethod
+    def zero(cls) -> Model:
+        return cls(np.zeros(2), np.zeros((3 * len(KINDS) + 3 * len(HINTS), 2, 2)), [np.zeros((2, n)) for n in (LENGTHS, SHARES, PARAGRAPHS, PARTS)])
+
+    def weights(self) -> list[np.ndarray]:
+        return [self.root, self.pair, *self.seen]
+
 
+#: Gradient steps of a fit, their size, and how strongly weights are drawn to zero (per element).
+STEPS, RATE, DECAY = 200, 0.1, 1e-5
 
-def fit(pages: Iterable[str] | None = None) -> Model:
-    """The model counted on labelled pages, by default the generated ones of labelled_pages().
+
+def fit(pages: Iterable[str] | None = None, hints: bool = True) -> Model:
+    """The model under which the labels of labelled pages, by default those of labelled_pages(), are likeliest.
 
     On a labelled page the attribute data-content gives an element's label, 1 for
     content, which holds for all below it until another element says otherwise.
+    Without hints, words of class, id and role are not looked at. The labels'
+    likelihood and its slope come from the same messages as the marginals, for all
+    pages at once, one depth of their trees after the other.
     """
-    kinds, hints = len(KINDS), 2 * _INSIDE
-    edge = np.zeros((kinds, hints, 2, 2))
-    length, share, paragraphs, root = np.full((2, LENGTHS), 0.5), np.full((2, SHARES), 0.5), np.full((2, PARAGRAPHS), 0.5), np.full((2, 2), 0.5)
-    held = []
-    for k, source in enumerate(labelled_pages() if pages is None else pages):
+    parent, depth, label, root_of, alone_of, buckets, rows, features = [], [], [], [], [], [], [], []
+    for source in labelled_pages() if pages is None else pages:
         page = parse(source)
-        lengths, shares, below = seen(page)
-        label = given_labels(page)
-        if k % 3 == 2:
-            held.append((page, label))
-            continue
-        root[int(bare(page)), label[0]] += 1
+        if not hints:
+            page.hints = [()] * len(page.parent)
+            page.inside = [False] * len(page.parent)
+        base, alone = len(parent), lone(page)
+        label += given_labels(page)
+        buckets += seen(page)
         for i, up in enumerate(page.parent):
-            length[label[i], lengths[i]] += 1
-            share[label[i], shares[i]] += 1
-            paragraphs[label[i], below[i]] += 1
-            if up >= 0:
-                edge[page.kind[i], page.hint[i], label[up], label[i]] += 1
-    # A kind with a rare hint backs off to the hint alone or the kind alone, whichever is surer, and these to copying the parent.
-    copying = np.array([[0.9, 0.1], [0.1, 0.9]])
-    by_kind = edge[:, 0] + 0.5 * copying
-    by_kind /= by_kind.sum(axis=2, keepdims=True)
-    by_hint = edge.sum(axis=0) + 0.5 * copying
-    by_hint /= by_hint.sum(axis=2, keepdims=True)
-    sure = lambda p: np.abs(p[..., 1:] - 0.5)
-    back = np.where((sure(by_hint)[None] >= sure(by_kind)[:, None]), by_hint[None], by_kind[:, None])
-    back[:, 0] = by_kind
-    back[:, _INSIDE] = by_hint[_INSIDE]
-    edge = edge + 1.0 * back
-    edge /= edge.sum(axis=3, keepdims=True)
-    length, share, paragraphs = (np.log(x / x.sum(axis=1, keepdims=True)) for x in (length, share, paragraphs))
-    models = [Model(np.log(root / root.sum(axis=1, keepdims=True)), np.log(edge), a * length, a * share, b * paragraphs) for a in TEMPERS for b in TEMPERS]
-    return max(models, key=lambda model: _likelihood(model, held))
+            parent.append(base + up if i else -1)
+            depth.append(depth[base + up] + 1 if i else 0)
+            alone_of.append(int(alone))
+            if i:
+                numbers = _pairs(page.kind[i], page.hints[i], page.inside[i], alone)
+                rows += [base + i] * len(numbers)
+                features += numbers
+        root_of.append((base, int(bare(page))))
+    model, n = Model.zero(), len(parent)
+    if not n:
+        return model
+    parent, depth, label, alone_of, rows, features = (np.array(x) for x in (parent, depth, label, alone_of, rows, features))
+    roots, bares = np.array(root_of).T
+    buckets = np.array(buckets).T
+    levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+    truth = np.zeros((n, 2, 2))
+    truth[np.arange(n), label[parent], label] = 1
+    moments = [(np.zeros_like(w), np.zeros_like(w)) for w in model.weights()]
+    for step in range(1, STEPS + 1):
+        score = np.empty((n, 2, 2))
+        for a in (0, 1):
+            for b in (0, 1):
+                score[:, a, b] = np.bincount(rows, weights=model.pair[features, a, b], minlength=n)
+        below = np.zeros((n, 2))
+        below[:, 1] = sum(w[alone_of, at] for w, at in zip(model.seen, buckets, strict=True))
+        below[roots, 1] += model.root[bares]
+        up = np.zeros((n, 2))
+        for at in reversed(levels):
+            both = score[at] + below[at][:, None, :]
+            up[at] = np.logaddexp(both[:, :, 0], both[:, :, 1])
+            for a in (0, 1):
+                below[:, a] += np.bincount(parent[at], weights=up[at, a], minlength=n)
+        belief = np.zeros((n, 2))
+        belief[roots] = below[roots] - np.logaddexp(below[roots, 0], below[roots, 1])[:, None]
+        pairs = np.zeros((n, 2, 2))
+        for at in levels:
+            both = (belief[parent[at]] - up[at])[:, :, None] + score[at] + below[at][:, None, :]
+            pairs[at] = np.exp(both)
+            belief[at] = np.logaddexp(both[:, 0], both[:, 1])
+        missing = truth - pairs
+        off = label - np.exp(belief[:, 1])
+        slopes = [np.bincount(bares, weights=off[roots], minlength=2), np.stack([np.bincount(features, weights=missing[rows, a, b], minlength=len(model.pair)) for a in (0, 1) for b in (0, 1)], axis=1).reshape(-1, 2, 2)]
+        slopes += [np.stack([np.bincount(at[alone_of == k], weights=off[alone_of == k], minlength=w.shape[1]) for k in (0, 1)]) for w, at in zip(model.seen, buckets, strict=True)]
+        rate = RATE * min(1.0, 2 * (STEPS - step + 1) / STEPS)
+        for w, slope, (mean, square) in zip(model.weights(), slopes, moments, strict=True):
+            slope = slope / n - DECAY * w
+            mean += 0.1 * (slope - mean)
+            square += 0.01 * (slope * slope - square)
+            w += rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    return model
 
 
 def given_labels(page: Page) -> list[int]:
@@ -423,23 +492,28 @@ def given_labels(page: Page) -> list[int]:
     return label
 
 
-def _likelihood(model: Model, held: list[tuple[Page, list[int]]]) -> float:
-    """Sum of the log-marginals of the labels of elements with text."""
-    tables, total = _tables(model), 0.0
-    for page, label in held:
-        belief = marginals(page, tables)
-        for node in {node for node, _ in page.texts}:
-            p = belief[node]
-            total += float(np.log(max(1e-6, p if label[node] else 1 - p)))
-    return total
-
-
 def _tables(model: Model) -> tuple:
-    edge = np.exp(model.edge).tolist()
-    ratio_length = np.exp(model.length[1] - model.length[0]).tolist()
-    ratio_share = np.exp(model.share[1] - model.share[0]).tolist()
-    ratio_paragraphs = np.exp(model.paragraphs[1] - model.paragraphs[0]).tolist()
-    return np.exp(model.root).tolist(), edge, ratio_length, ratio_share, ratio_paragraphs
+    return np.exp(model.root).tolist(), np.exp(model.pair).tolist(), [np.exp(w).tolist() for w in model.seen]
+
+
+def potentials(page: Page, tables: tuple) -> tuple[list[float], list[tuple[float, float, float, float]]]:
+    """Each element's potential of being content, against 1 of not, and of its pair of labels with its parent's: (0, 0), (0, 1), (1, 0), (1, 1)."""
+    root, pair, (by_length, by_share, by_paragraphs, by_part) = tables
+    alone = lone(page)
+    by_length, by_share, by_paragraphs, by_part = (w[alone] for w in (by_length, by_share, by_paragraphs, by_part))
+    own = [by_length[a] * by_share[b] * by_paragraphs[c] * by_part[d] for a, b, c, d in seen(page)]
+    own[0] *= root[bare(page)]
+    known: dict[tuple, tuple[float, float, float, float]] = {}
+    edges = []
+    for key in zip(page.kind, page.hints, page.inside, strict=True):
+        if key not in known:
+            a = b = c = d = 1.0
+            for number in _pairs(*key, alone):
+                (e, f), (g, h) = pair[number]
+                a, b, c, d = a * e, b * f, c * g, d * h
+            known[key] = a, b, c, d
+        edges.append(known[key])
+    return own, edges
 
 
 def marginals(page: Page, tables: tuple) -> list[float]:
@@ -447,15 +521,13 @@ def marginals(page: Page, tables: tuple) -> list[float]:
 
     Messages are pairs scaled to sum 1.
     """
-    root, edge, ratio_length, ratio_share, ratio_paragraphs = tables
-    lengths, shares, paragraphs = seen(page)
+    own, edges = potentials(page, tables)
     n = len(page.parent)
-    own = [(1.0, ratio_length[a] * ratio_share[b] * ratio_paragraphs[c]) for a, b, c in zip(lengths, shares, paragraphs, strict=True)]
-    below = [list(x) for x in own]  # evidence of each element and all below it
+    below = [[1 / (1 + x), x / (1 + x)] for x in own]  # evidence of each element and all below it
     up = [(0.5, 0.5)] * n
     for i in range(n - 1, 0, -1):
         no, yes = below[i]
-        (a, b), (c, d) = edge[page.kind[i]][page.hint[i]]
+        a, b, c, d = edges[i]
         m0, m1 = a * no + b * yes, c * no + d * yes
         s = m0 + m1
         up[i] = m0, m1 = m0 / s, m1 / s
@@ -466,13 +538,12 @@ def marginals(page: Page, tables: tuple) -> list[float]:
         at[0] /= s
         at[1] /= s
     belief = [0.0] * n
-    no, yes = (p * x for p, x in zip(root[int(bare(page))], below[0], strict=True))
-    belief[0] = yes / (no + yes)
+    belief[0] = below[0][1] / (below[0][0] + below[0][1])
     for i in range(1, n):
         p = belief[page.parent[i]]
         # What reaches the parent from elsewhere: its belief without this element's message.
         no, yes = (1 - p) / max(up[i][0], 1e-300), p / max(up[i][1], 1e-300)
-        (a, b), (c, d) = edge[page.kind[i]][page.hint[i]]
+        a, b, c, d = edges[i]
         x, y = (no * a + yes * c) * below[i][0], (no * b + yes * d) * below[i][1]
         belief[i] = y / (x + y)
     return belief

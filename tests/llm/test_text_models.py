@@ -165,17 +165,16 @@ def test_op9_equals_brute_force(spark, sf_dir, frequent):
 
 def brute_sum_product(page, tables):
     """Marginals by trying all labellings."""
-    root, edge, lengths_ratio, shares_ratio, paragraphs_ratio = tables
-    lengths, shares, below = html_extract.seen(page)
+    own, edges = html_extract.potentials(page, tables)
     n = len(page.parent)
     total, yes = 0.0, np.zeros(n)
     for bits in range(2**n):
         y = [(bits >> i) & 1 for i in range(n)]
-        p = root[int(html_extract.bare(page))][y[0]]
+        p = 1.0
         for i in range(n):
-            p *= lengths_ratio[lengths[i]] * shares_ratio[shares[i]] * paragraphs_ratio[below[i]] if y[i] else 1.0
+            p *= own[i] if y[i] else 1.0
             if i:
-                p *= edge[page.kind[i]][page.hint[i]][y[page.parent[i]]][y[i]]
+                p *= edges[i][2 * y[page.parent[i]] + y[i]]
         total += p
         yes += p * np.array(y)
     return yes / total
@@ -217,7 +216,83 @@ def test_marginals_on_unseen_labelled_pages(pages):
         for node, _ in page.texts:
             right += (belief[node] >= 0.5) == label[node]
             total += 1
-    assert right >= 0.97 * total
+    assert right >= 0.985 * total
+
+
+def test_weights_are_where_the_likelihood_has_no_slope():
+    """On a few pages, a weight moved either way makes the labels less likely, by the marginals of a brute force."""
+    sources = list(labelled_pages(40, seed=2))
+    model = html_extract.fit(sources)
+    small = [page for page in map(html_extract.parse, sources) if len(page.parent) <= 60]
+
+    def likelihood():
+        tables, total = html_extract._tables(model), 0.0
+        for page in small:
+            own, edges = html_extract.potentials(page, tables)
+            label = html_extract.given_labels(page)
+            z = [[1.0, x] for x in own]
+            for i in range(len(own) - 1, 0, -1):
+                for a in (0, 1):
+                    z[page.parent[i]][a] *= edges[i][2 * a] * z[i][0] + edges[i][2 * a + 1] * z[i][1]
+            total += sum(math.log(x) for x, y in zip(own, label, strict=True) if y) - math.log(sum(z[0]))
+            total += sum(math.log(edges[i][2 * label[page.parent[i]] + label[i]]) for i in range(1, len(own)))
+        return total
+
+    there = likelihood()
+    for weights in model.weights():
+        weights *= 0.5
+        assert likelihood() < there
+        weights *= 2
+
+
+#: Paragraphs of 100 letters and more; ways in which pages hold them, without and with words of layout.
+PARAGRAPHS = [f"paragraph {c} that goes on with a few more words about this and that until it has a hundred letters or more, {c}." for c in "abcdef"]
+LAYOUTS = ["content-area with-sidebar", "page-with-sidebar", "post has-social-share", "side-by-side", "ad-free", "article-ad-wrapper", "more-info", "related-content", "discussion", "post-comments-open"]
+HOLDERS = {
+    **{name: f'<div class="{name}">' + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</div>" for name in LAYOUTS},
+    "br": "<div>" + "<br><br>".join(PARAGRAPHS) + "</div>",
+    "br in body": "<br><br>".join(PARAGRAPHS),
+    "divs": "<div>" + "".join(f"<div>{p}</div>" for p in PARAGRAPHS) + "</div>",
+    "divs in body": "".join(f"<div>{p}</div>" for p in PARAGRAPHS),
+    "center": "<center><font>" + "<br><br>".join(PARAGRAPHS) + "</font></center>",
+    "section": "<section><div>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</div></section>",
+    "table": "<table><tr><td><a href=a>Aboutus</a> <a href=b>Homepage</a><td>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</table>",
+}
+AROUND = {
+    "elements": ("<header>Sitename</header><nav><ul><li><a href=/>Homepage</a><li><a href=/b>Aboutus</a></ul></nav>", "<footer>Copyright someone</footer>"),
+    "divs": ('<div class="header">Sitename</div><div class=menu><a href=/>Homepage</a> <a href=/b>Aboutus</a></div>', "<div class=footer>Copyright someone</div>"),
+}
+
+
+@pytest.mark.parametrize("around", AROUND)
+@pytest.mark.parametrize("holder", HOLDERS)
+def test_articles_survive_layout(pages, holder, around):
+    before, after = AROUND[around]
+    found = html_extract.main_text(f"<html><head><title>T</title></head><body>{before}{HOLDERS[holder]}{after}</body></html>", pages[1])
+    assert found == " ".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("holder", [name for name in HOLDERS if name != "table"])
+def test_articles_alone_on_a_page(pages, holder):
+    assert html_extract.main_text(HOLDERS[holder], pages[1]) == " ".join(PARAGRAPHS)
+
+
+def test_comments_go_however_long(pages):
+    comments = "".join(f"<div class=comment><p>{p}</p></div>" for p in PARAGRAPHS)
+    for tag in ("section class=comments", "div id=comment-list", 'div class="post-comments"'):
+        found = html_extract.main_text(f"<nav><a href=/>Homepage</a></nav><article><h1>Head</h1><p>{PARAGRAPHS[0]}</p></article><{tag}>{comments}</{tag.split()[0]}><footer>Copyright</footer>", pages[1])
+        assert found == f"Head {PARAGRAPHS[0]}"
+
+
+def test_formulas_stay(pages):
+    assert html_extract.main_text("<article><p>Where <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math> holds</article>", pages[1]) == "Where x=1 holds"
+
+
+def test_hints():
+    names = list(html_extract.HINTS)
+    hints = lambda value: [names[k] for k in html_extract._hints(f' class="{value}"')]
+    assert hints("content-area with-sidebar") == ["content"] and hints("ad-free comments-open no-ads") == []
+    assert hints("article-ad-wrapper") == ["ad", "content"] and hints("relatedPosts") == ["side", "content"] and hints("") == []
 
 
 def test_op4_keeps_articles_whole(spark, sf_dir):
@@ -248,7 +323,7 @@ def test_extracts_odd_rows(spark, pages):
         ("<head><title>T</title></head><body><p>One", "One"),
         ("<head><title>T<body><p>One", "One"),
         ("<p>One <head>two", "One two"),
-        *((f"<article><p>One<{tag}>x<p>Two</p>Three</article>Four", "One Two Three Four") for tag in ("button", "select", "object", "svg", "math", "audio", "video", "canvas", "template")),
+        *((f"<article><p>One<{tag}>x<p>Two</p>Three</article>Four", "One Two Three Four") for tag in ("button", "select", "object", "svg", "audio", "video", "canvas", "template")),
         ("<article><p>One<button>x</article><p>Two<button>y</button>", "One Two"),
         ("<p>One<button>x<p>y</p><div>z</div></button>two</p>", "One two"),
         ("<p>One<object><video>x</object> two", "One two"),
