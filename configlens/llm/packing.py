@@ -183,26 +183,30 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
 WEIGHTS = (0.5, 1.0)
 #: How often repeats are fitted to what rounding has left, at most; the share of a sequence that a pattern may leave empty.
 REFITS, WASTE = 5, 1 / 512
+#: Fitted repeats of less than this are taken for none; all others are rounded up, as far as pieces are there. A pattern
+#: wastes next to nothing, so one more of it does no harm, and where lengths are rare the fit spreads over many patterns.
+LEAST_REPEAT = 0.05
 
 
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how often each is used; together they hold exactly histogram[length] pieces of each length.
 
     Repeats are fitted and rounded, again and again on what is left, and the last
-    residual is packed by best fit. Of the plans for several weights of the fit,
-    and of best fit alone, that of fewest sequences is taken.
+    residual is packed by best fit. Of the plans for several weights of the fit
+    that of fewest sequences is taken; best fit alone only where it needs fewer.
     """
-    plans = [best_fit(histogram.astype(np.int64).copy(), capacity)]
-    size = lambda p: sum(n for _, n in p)
-    least = -(-int((histogram * np.arange(len(histogram))).sum()) // capacity)
+    plans = []
     for power in WEIGHTS:
-        if min(map(size, plans)) == least:
-            break
-        plans.append(_fitted(histogram, capacity, power))
-    return min(plans, key=size)
+        used, left = fitted_patterns(histogram, capacity, power)
+        for pattern, n in best_fit(left, capacity):
+            used[pattern] = used.get(pattern, 0) + n
+        plans.append(sorted(used.items()))
+    plans.append(best_fit(histogram.astype(np.int64).copy(), capacity))
+    return min(plans, key=lambda used: sum(n for _, n in used))
 
 
-def _fitted(histogram: np.ndarray, capacity: int, power: float) -> list[tuple[tuple[int, ...], int]]:
+def fitted_patterns(histogram: np.ndarray, capacity: int, power: float) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
+    """Patterns with their fitted and rounded repeats, and the histogram of pieces that they leave over."""
     left = histogram.astype(np.int64).copy()
     used: dict[tuple[int, ...], int] = defaultdict(int)
     weight = (np.arange(len(left)) / capacity) ** power
@@ -212,18 +216,16 @@ def _fitted(histogram: np.ndarray, capacity: int, power: float) -> list[tuple[tu
             break
         repeats = non_negative_least_squares(patterns, left.astype(float), weight)
         before = int(left.sum())
-        # Those of the largest repeats first: rounding changes them least.
-        for k in sorted(np.flatnonzero(repeats >= 0.5).tolist(), key=lambda k: (-repeats[k], patterns[k])):
+        # Those of the largest repeats first: rounding changes them least, and they find their pieces still there.
+        for k in sorted(np.flatnonzero(repeats >= LEAST_REPEAT).tolist(), key=lambda k: (-repeats[k], patterns[k])):
             at, need = np.unique(patterns[k], return_counts=True)
-            n = min(int(repeats[k] + 0.5), int((left[at] // need).min()))
+            n = min(int(np.ceil(repeats[k])), int((left[at] // need).min()))
             if n > 0:
                 used[patterns[k]] += n
                 left[at] -= n * need
         if int(left.sum()) > 0.9 * before:
             break
-    for pattern, n in best_fit(left, capacity):
-        used[pattern] += n
-    return sorted(used.items())
+    return used, left
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

@@ -103,6 +103,25 @@ def test_plan_holds_every_piece_once(lengths):
     assert (held == histogram).all()
 
 
+def test_fitted_patterns_hold_the_documents(spark, sf_dir):
+    """On the table itself the plan comes from fitted patterns, not from best fit, and is no larger."""
+    rows = packing.pieces_of(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("length < 2048").groupBy("length").count().collect()
+    histogram = np.zeros(2048, dtype=np.int64)
+    for row in rows:
+        histogram[row["length"]] = row["count"]
+    used, plan = packing.fitted_patterns(histogram, 2048, packing.WEIGHTS[0])[0], dict(packing.plan(histogram))
+    size = sum(plan.values())
+    assert size <= sum(n for _, n in packing.best_fit(histogram.copy(), 2048))
+    assert sum(min(n, plan.get(pattern, 0)) for pattern, n in used.items()) >= 0.9 * size
+
+
+def test_equal_plans_are_the_fitted_one():
+    lengths = np.clip(np.random.default_rng(1).exponential(600, 10_000).astype(int), 1, 2047)
+    histogram = np.bincount(lengths, minlength=2048)
+    alone, plan = packing.best_fit(histogram.copy(), 2048), packing.plan(histogram)
+    assert sum(n for _, n in plan) == sum(n for _, n in alone) and plan != alone
+
+
 def test_plan_is_near_the_bound():
     lengths = np.random.default_rng(1).integers(1, 2048, 20_000)
     used = packing.plan(np.bincount(lengths, minlength=2048), 2048)
