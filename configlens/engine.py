@@ -82,10 +82,11 @@ def compare_hosts(spark: SparkSession, roots: dict[str, list[str]], baseline: st
     return hosts.catalog(compared, known), hosts.server_status(compared, available), compared
 
 
-def find_secrets(spark: SparkSession, root: str, rules: Sequence[secrets.SecretRule] = secrets.SAMPLE_RULES) -> DataFrame:
-    """Lines with secrets in the text files below a root."""
+def find_secrets(spark: SparkSession, root: str, rules: Sequence[secrets.SecretRule] | secrets.SecretSettings = secrets.SAMPLE_RULES) -> DataFrame:
+    """Lines with secrets in the text files below a root, by rules or by a job's settings."""
     texts = _texts(spark, root)
-    return secrets.scan(texts.select(F.col("relative_path").alias("path"), "text"), rules)
+    used = rules if isinstance(rules, secrets.SecretSettings) else secrets.SecretSettings(tuple(rules))
+    return secrets.scan(texts.select(F.col("relative_path").alias("path"), "text"), used.rules, used.ignore_rules, used.ignore_patterns)
 
 
 def diff(spark: SparkSession, before: str, after: str, plan: diffs.DiffPlan = diffs.DiffPlan()) -> DataFrame:

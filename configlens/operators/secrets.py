@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +22,8 @@ class SecretRule:
     pattern: str
 
 
-#: The sample rules, version 2024-06-01 (fixed values).
+#: The sample rules and their version (fixed values).
+SAMPLE_VERSION = "2024-06-01"
 SAMPLE_RULES = (
     SecretRule("PasswordAssignment", r"""(?i)password\s*[:=]\s*['"]?[A-Za-z0-9\-_/+=]{8,}"""),
     SecretRule("GenericApiToken", r"""(?i)(api|auth|token)[-_ ]?(key|token)\s*[:=]\s*['"]?[A-Za-z0-9]{16,}"""),
@@ -57,6 +58,45 @@ def option_list(value: object) -> tuple[str, ...]:
     return ()
 
 
+@dataclass(frozen=True)
+class SecretSettings:
+    """What a scan looks for and what it lets pass."""
+
+    rules: tuple[SecretRule, ...]
+    ignore_rules: tuple[str, ...] = ()
+    ignore_patterns: tuple[str, ...] = ()
+    version: str = "unknown"
+
+
+def settings(options: Mapping | None = None, scanner: Mapping | None = None, embedded: Mapping | None = None) -> SecretSettings:
+    """The settings of a job: a ruleset inline in its scanner beats the embedded one, which is the sample rules if none is given.
+
+    A ruleset is a mapping with version and rules; one whose rules are no list
+    is none. Rules and patterns to ignore are those of the options
+    (secret_ignore_rules, secret_ignore_patterns), then those of the scanner
+    (ignore_rules, ignore_patterns), each once; patterns that don't compile are
+    left out. Without any rule nothing is found.
+    """
+    options, scanner = options or {}, scanner or {}
+
+    def merged(key: str) -> tuple[str, ...]:
+        return tuple(dict.fromkeys((*option_list(options.get(f"secret_{key}")), *option_list(scanner.get(key)))))
+
+    def compiles(pattern: str) -> bool:
+        try:
+            return bool(re.compile(pattern))
+        except re.error:
+            return False
+
+    rules, version = SAMPLE_RULES, SAMPLE_VERSION
+    for ruleset in (scanner.get("ruleset"), embedded):
+        found = compile_rules(ruleset.get("rules")) if isinstance(ruleset, Mapping) else None
+        if found is not None:
+            rules, version = found, str(ruleset.get("version") or "unknown")
+            break
+    return SecretSettings(rules, merged("ignore_rules"), tuple(filter(compiles, merged("ignore_patterns"))), version)
+
+
 def is_binary(content: Column) -> Column:
     """Whether the first 1024 bytes hold a zero byte."""
     return F.regexp_count(F.hex(F.substring(content, 1, 1024)), F.lit("^(..)*?00")) > 0

@@ -328,6 +328,19 @@ def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_files(spark, sf_dir), SECRET_RULES, ignore_patterns=["licensed"])
 
 
+@query(r"""WITH """ + _LINES.strip() + r""", found AS (SELECT path, line_number, line, CASE WHEN regexp_matches(line, 'licensed') OR regexp_matches(line, '\.example') THEN NULL
+  WHEN regexp_matches(line, '(?i)token = .[0-9a-f]{40}') THEN 'AccessToken' WHEN regexp_matches(line, '[a-z0-9.]+@[a-z0-9.]+\.com') THEN 'Email' END AS rule FROM lines)
+SELECT '7' AS version, rule, count(*)::BIGINT AS lines, count(DISTINCT path)::BIGINT AS files, min(line_number)::BIGINT AS first_line FROM found WHERE rule IS NOT NULL GROUP BY rule""")
+def secret_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by rule under a job's settings: an inline ruleset, rules and patterns that options and scanner ignore."""
+    flags = {"AccessToken": "i"}
+    inline = {"version": 7, "rules": [{"name": r.name, "pattern": r.pattern, "flags": flags.get(r.name)} for r in SECRET_RULES] + [{"name": "Broken", "pattern": "("}]}
+    scanner = {"ruleset": inline, "ignore_rules": ["IpAddress"], "ignore_patterns": ["licensed", "[", r"\.example"]}
+    used = secrets.settings({"secret_ignore_rules": "Other; IpAddress", "secret_ignore_patterns": "licensed"}, scanner, {"rules": [{"name": "Never", "pattern": "e"}]})
+    found = secrets.scan(_files(spark, sf_dir), used.rules, used.ignore_rules, used.ignore_patterns)
+    return found.groupBy(F.lit(used.version).alias("version"), "rule").agg(F.count("*").alias("lines"), F.countDistinct("path").alias("files"), F.min("line_number").alias("first_line"))
+
+
 @query(f"{_SECRETS} SELECT f.path, bool_or(rule IS NOT NULL) AS has_secrets FROM files f LEFT JOIN found USING (path) GROUP BY 1")
 def secret_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with whether they hold secrets."""

@@ -121,6 +121,11 @@ def test_secrets(spark):
     assert secrets.scan(files, [secrets.SecretRule("empty", "^")]).isEmpty()
     assert secrets.compile_rules([{"name": "a", "pattern": "("}, {"name": "b", "pattern": "x", "flags": "i"}, {"pattern": "y"}]) == (secrets.SecretRule("b", "(?i)x"),)
     assert secrets.compile_rules("no") is None and secrets.option_list("a, b;c") == ("a", "b", "c") and secrets.option_list([" a ", None]) == ("a",)
+    embedded = {"version": "e", "rules": [{"name": "E", "pattern": "e"}]}
+    assert secrets.settings() == secrets.SecretSettings(secrets.SAMPLE_RULES, version=secrets.SAMPLE_VERSION)
+    assert secrets.settings(None, {"ruleset": {"rules": "no"}}, embedded) == secrets.SecretSettings((secrets.SecretRule("E", "e"),), version="e")
+    inline = secrets.settings({"secret_ignore_rules": "b, a", "secret_ignore_patterns": ["p"]}, {"ruleset": {"rules": []}, "ignore_rules": ["a", "c"], "ignore_patterns": ["(", "p", "q"]}, embedded)
+    assert inline == secrets.SecretSettings((), ("b", "a", "c"), ("p", "q")) and secrets.scan(files, inline.rules).isEmpty()
     binary = spark.createDataFrame([(b"a\x00b",), (b"\x10\x01",)], "b binary")
     assert [r[0] for r in binary.select(secrets.is_binary(F.col("b"))).collect()] == [True, False]
 
