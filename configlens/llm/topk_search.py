@@ -69,7 +69,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_column:
     products, ties go to smaller vec_ids, and rows with the query's id are no
     candidates of it. Vectors that are null, hold null or non-finite components
     or have another length than most take no part, nor do rows without id;
-    repeated rows are candidates each. With fewer candidates than k all are
+    repeated rows are candidates each, and of several vectors of a query's id the
+    smallest, component by component, is asked with. With fewer candidates than k all are
     returned; an empty table gives no rows. Vectors so long that scores may not
     fit 64 bits raise an OverflowError.
     """
@@ -81,7 +82,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_column:
     if not dim:
         return empty
     rows = rows.where(F.size("vec") == dim).select(F.col("vec_id").cast("bigint"), "vec")
-    asked = work.write(rows.where(is_query).dropDuplicates(["vec_id"]), "asked")
+    asked = work.write(rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec")), "asked")
     count = asked.count()
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + F.pow(F.floor(x * SCALE).cast("double"), F.lit(2.0)))
     facts = rows.agg(F.max(square).alias("square"), F.count("*").alias("n")).first()

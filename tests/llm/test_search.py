@@ -268,3 +268,11 @@ def test_pipeline_on_odd_documents(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_of_several_vectors_of_a_query_the_smallest_is_asked_with(spark):
+    rows = [(1, [0.5, 0.0]), (1, [0.25, 1.0]), (1, [0.25, 0.5]), (2, [1.0, 0.0]), (3, [0.0, 1.0])]
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, "vec_id bigint, embedding array<double>").repartition(3)
+        found = topk_search.top_k(table, F.col("vec_id") == 1).collect()
+        assert sorted((r.rank, r.vec_id, r.score) for r in found) == [(1, 3, 128 * 256), (2, 2, 64 * 256)]
