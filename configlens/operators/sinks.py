@@ -140,17 +140,18 @@ def free_names(wanted: DataFrame, taken: DataFrame, key: str = "name") -> DataFr
 
     Names taken by others leave gaps, which are filled; each name is given once.
     """
-    counted = wanted.groupBy(key).agg(F.count("*").alias("_wanted"))
     # What is taken, or wanted as such, by the stem before its number; the bare name is number 0.
-    used = taken.select(key).union(counted.select(key)).distinct()
-    numbered = used.select(F.regexp_replace(key, r"-[1-9]\d{0,8}\z", "").alias("_stem"), F.regexp_extract(key, r"-([1-9]\d{0,8})\z", 1).alias("_n")).where("_n <> ''")
-    used = numbered.select(F.col("_stem").alias(key), F.col("_n").cast("bigint").alias("_n")).union(taken.select(key, F.lit(0).cast("bigint"))).distinct()
-    room = counted.join(used.groupBy(key).agg(F.count("*").alias("_used")), key, "left")
-    numbers = room.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_used", F.lit(0).cast("bigint")) + F.col("_wanted"))).alias("_n"))
-    place = lambda order: F.row_number().over(Window.partitionBy(key).orderBy(order))
-    free = numbers.join(used, [key, "_n"], "left_anti").withColumn("_at", place("_n"))
-    rows = wanted.withColumn("_at", place("rank")).join(free, [key, "_at"])
-    name = F.when(F.col("_n") == 0, F.col(key)).otherwise(F.concat_ws("-", F.col(key), F.col("_n").cast("string")))
+    asked = wanted.select(key).distinct()
+    used = taken.select(key).union(asked).distinct()
+    numbered = used.select(F.regexp_replace(key, r"-[1-9]\d{0,8}\z", "").alias(key), F.regexp_extract(key, r"-([1-9]\d{0,8})\z", 1).alias("_n")).where("_n <> ''")
+    used = numbered.select(key, F.col("_n").cast("bigint").alias("_n")).union(taken.select(key, F.lit(0).cast("bigint"))).distinct().join(asked, key, "left_semi")
+    place = lambda order: F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("bigint") - 1
+    # A used number is passed by the rows whose place is at least the count of free numbers below it, so free ones are never listed.
+    passed = used.select(key, (F.col("_n") - place("_n")).alias("_at"), F.lit(1).alias("_used"))
+    rows = wanted.withColumn("_at", place("rank")).withColumn("_used", F.lit(0)).unionByName(passed, allowMissingColumns=True)
+    before = Window.partitionBy(key).orderBy("_at", F.desc("_used")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_n", F.col("_at") + F.sum("_used").over(before)).where("_used = 0")
+    name = F.when(F.col("_n") == 0, F.col(key)).otherwise(F.concat(key, F.lit("-"), F.col("_n").cast("string")))
     return rows.withColumn("free_name", name).select(*wanted.columns, "free_name")
 
 
