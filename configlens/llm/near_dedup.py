@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, Workspace, broadcast_if_small, bytes_of, mix64, slices, sorted_groups, window_hashes
@@ -388,9 +388,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_rows = work.write(signatures(docs), "rows")
     # Equal sets are one class: partial aggregation meets copies before the shuffle.
     classes = work.write(of_rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers"), F.min("small").alias("small")), "classes")
-    keys = bands(classes)
-    shared = keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key", "low")
-    members = work.write(keys.join(work.write(shared, "shared"), "key"), "members0")
+    # Keys move once: the members of a bucket are those beside which another class stands in the order of the classes.
+    of_key = Window.partitionBy("key").orderBy("class")
+    keys = bands(classes).withColumn("low", F.first("class").over(of_key)).withColumn("next", F.lead("class").over(of_key))
+    members = work.write(keys.where("class <> low OR next IS NOT NULL").select("key", "class", "low"), "members0")
 
     def linked(met: DataFrame, name: str) -> DataFrame:
         """The links among the pairs met."""

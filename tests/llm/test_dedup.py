@@ -108,6 +108,26 @@ def test_rows_without_or_with_repeated_ids(spark):
     assert near_dedup.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_keys_of_bands_are_made_and_moved_once(spark, monkeypatch):
+    made, real = spark.sparkContext.accumulator(0), near_dedup.bands
+
+    def counted(classes):
+        def run(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return real(classes).mapInArrow(run, "key bigint, class bigint")
+
+    monkeypatch.setattr(near_dedup, "bands", counted)
+    docs = corpus(5)
+    rows = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(rows).collect()}
+    assert got == brute_components(docs)
+    classes = {frozenset(s) for s in map(shingles, docs.values()) if len(s) > 2}
+    assert made.value == len(classes) * near_dedup.REGISTERS // near_dedup.BAND
+
+
 def test_estimates_are_near_the_truth():
     rng = np.random.default_rng(3)
     errors = []
