@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import Tables
 from ..functions.sizes import SMALL_ROWS, small
-from .compare import first_wins
 
 UNINSTALL = r"SOFTWARE\\(WOW6432Node\\)?Microsoft\\Windows\\CurrentVersion\\Uninstall\\[^\\]+"
 
@@ -20,11 +19,15 @@ def installed_apps(values: DataFrame) -> DataFrame:
 
     Of keys that several views show, that of the view named 64 stays.
     """
-    rows = values.where(F.col("key_path").rlike(f"(?i)^{UNINSTALL}$"))
+    names = {"display_name": "DisplayName", "publisher": "Publisher", "version": "DisplayVersion"}
+    rows = values.where(F.col("key_path").rlike(f"(?i)^{UNINSTALL}$") & F.lower("value_name").isin([n.lower() for n in names.values()]))
+    # Keys are dealt before texts are aggregated, because that sorts: a task then sorts its share of the keys, not all that it has read.
+    dealt = rows.select("hive", "key_path", "view", "value_name", "data").repartition("hive", "key_path")
     pick = lambda name: F.max(F.when(F.lower("value_name") == name.lower(), F.col("data")))
-    apps = rows.groupBy("hive", "view", "key_path").agg(pick("DisplayName").alias("display_name"), pick("Publisher").alias("publisher"), pick("DisplayVersion").alias("version"))
-    named = apps.where(F.trim("display_name") != "")
-    return first_wins(named, ["hive", "key_path"], F.desc("view")).orderBy(F.lower("display_name"), "hive", "key_path")
+    apps = dealt.groupBy("hive", "key_path", "view").agg(*(pick(n).alias(c) for c, n in names.items())).where(F.trim("display_name") != "")
+    # In the order of the groups already, so that nothing is sorted or moved again.
+    shown = apps.groupBy("hive", "key_path").agg(F.max_by(F.struct("view", *names), F.struct("view")).alias("app"))
+    return shown.select("hive", "app.view", "key_path", *(f"app.{c}" for c in names)).orderBy(F.lower("display_name"), "hive", "key_path")
 
 
 def suggest_roots(tokens: DataFrame, apps: DataFrame) -> DataFrame:

@@ -166,6 +166,21 @@ def test_registry(spark):
     assert {r.hive for r in registry.suggest_roots(tokens, apps).collect()} == {"HKLM", "HKCU"}
 
 
+def test_installed_apps_deal_keys_before_they_sort(spark):
+    """Texts are aggregated by sorting, so no task that reads values may do that with all it has read."""
+    key = "SOFTWARE\\WOW6432Node\\Microsoft\\Windows\\CurrentVersion\\Uninstall\\A"
+    rows = [("HKLM", v, key, n, x) for v, n, x in (("32", "displayname", "old"), ("64", "DisplayName", "new"), ("64", "Publisher", "p"), ("x", "DisplayName", " "), (None, "DisplayName", "none"), ("64", "Icon", "i"))]
+    rows += [("HKCU", None, key, "DisplayName", "only"), ("HKCU", None, key, "DisplayVersion", "2")]
+    apps = registry.installed_apps(spark.createDataFrame(rows, "hive string, view string, key_path string, value_name string, data string"))
+    assert [r[:] for r in apps.select("hive", "view", "display_name", "publisher", "version").collect()] == [("HKLM", "64", "new", "p", None), ("HKCU", None, "only", None, "2")]
+    plan = apps._jdf.queryExecution().sparkPlan().toString()
+    read = apps._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "SortAggregate" in plan
+    steps = [line.strip(" +-:").split("(")[0].split(" ")[0] for line in read.splitlines() if line.strip()]
+    deal = max(k for k, step in enumerate(steps) if step == "Exchange")  # nearest to what is read
+    assert not {"Sort", "SortAggregate", "Window"} & set(steps[deal:]) and steps.count("Exchange") == 2
+
+
 def test_telemetry_and_logs(spark):
     sections = telemetry.transcript_sections(spark.createDataFrame([("t", "# T\nx\n## One\nHello World\n## Two\n")], "path string, text string"))
     assert {(r.title, r.section, r.body) for r in sections.collect()} >= {("T", "One", "Hello World")}
